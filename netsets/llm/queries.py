@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netsets.llm.common import read
 from netsets.llm.exact_dedup import exact_duplicates
+from netsets.llm.mixing import mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,51 @@ ORACLES["op7_exact_dedup"] = """
     FROM documents
     WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op9_mix_sources"] = r"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+               (('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u
+        FROM documents),
+    per_source AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight
+        FROM sized GROUP BY source),
+    -- each round fills the sources that their share would overfill and shares what is left among the rest
+    rounds AS (
+        SELECT source, source_size, weight, FALSE AS filled, 0 AS round,
+               1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS left_words, (sum(weight) OVER ())::DOUBLE AS left_weight
+        FROM per_source
+        UNION ALL
+        SELECT source, source_size, weight, now_filled, round + 1,
+               1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+                   - coalesce(sum(CASE WHEN now_filled THEN 2 * source_size END) OVER (), 0)::DOUBLE,
+               coalesce(sum(CASE WHEN now_filled THEN 0 ELSE weight END) OVER (), 0)::DOUBLE
+        FROM (SELECT *, filled OR weight * (left_words / left_weight) >= 2 * source_size AS now_filled FROM rounds
+              WHERE round < 40 AND left_weight > 0)),
+    targets AS (
+        SELECT source, source_size,
+               CASE WHEN filled THEN (2 * source_size)::DOUBLE ELSE weight * (left_words / left_weight) END AS target
+        FROM rounds WHERE round = (SELECT max(round) FROM rounds)),
+    ratios AS (
+        SELECT doc_id, source, size, u, source_size, target,
+               least(CASE WHEN source_size > 0 THEN 1.0::DOUBLE * target / source_size ELSE 0 END, 2.0::DOUBLE) AS copies
+        FROM sized JOIN targets USING (source)),
+    ranked AS (
+        SELECT *, floor(copies) AS whole, copies - floor(copies) AS pi,
+               (u / (1 - u)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) AS rank
+        FROM ratios),
+    run AS (
+        SELECT *, sum(CASE WHEN pi > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS through,
+               target - sum(whole * size) OVER (PARTITION BY source) AS need
+        FROM ranked)
+    SELECT doc_id, size, source_size, target,
+           (size * (whole + CASE WHEN pi > 0 AND size > 0 AND through - size / 2.0 <= need THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM run
+"""
