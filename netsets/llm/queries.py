@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netsets.llm.common import read
 from netsets.llm.exact_dedup import exact_duplicates
 from netsets.llm.mixing import mix
+from netsets.llm.tokens import token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +83,8 @@ ORACLES["op9_mix_sources"] = r"""
            (size * (whole + CASE WHEN pi > 0 AND size > 0 AND through - size / 2.0 <= need THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM run
 """
+
+
+@query
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
