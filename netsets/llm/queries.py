@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from netsets.llm.common import read
 from netsets.llm.exact_dedup import exact_duplicates
 from netsets.llm.mixing import mix
+from netsets.llm.simhash import near_duplicates
 from netsets.llm.tokens import token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,8 @@ ORACLES["op9_mix_sources"] = r"""
 @query
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
