@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netsets.llm.common import read
+from netsets.llm.decontaminate import benchmark_hits
 from netsets.llm.exact_dedup import exact_duplicates
 from netsets.llm.mixing import mix
 from netsets.llm.simhash import near_duplicates
@@ -94,3 +95,36 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op5_decontaminate"] = r"""
+    WITH doc AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+        FROM documents),
+    item AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+        FROM benchmark),
+    pattern AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS key
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+    place AS (
+        SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS key
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+              FROM doc, (SELECT DISTINCT n FROM pattern) WHERE len(w) >= n)),
+    met AS (SELECT doc_id, item_id, place.n, i FROM place JOIN pattern USING (n, key)),
+    hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM met) GROUP BY doc_id),
+    found AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM met) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
