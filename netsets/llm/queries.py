@@ -13,6 +13,7 @@ from netsets.llm.exact_dedup import exact_duplicates
 from netsets.llm.mixing import mix
 from netsets.llm.simhash import near_duplicates
 from netsets.llm.tokens import token_output
+from netsets.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,8 @@ ORACLES["op5_decontaminate"] = r"""
            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
