@@ -11,6 +11,7 @@ from netsets.llm.common import read
 from netsets.llm.decontaminate import benchmark_hits
 from netsets.llm.exact_dedup import exact_duplicates
 from netsets.llm.mixing import mix
+from netsets.llm.secrets import secrets
 from netsets.llm.simhash import near_duplicates
 from netsets.llm.tokens import token_output
 from netsets.llm.toxicity import toxicity
@@ -134,3 +135,9 @@ ORACLES["op5_decontaminate"] = r"""
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
