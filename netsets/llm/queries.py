@@ -11,6 +11,7 @@ from netsets.llm.common import read
 from netsets.llm.decontaminate import benchmark_hits
 from netsets.llm.exact_dedup import exact_duplicates
 from netsets.llm.mixing import mix
+from netsets.llm.pii import personal_data
 from netsets.llm.secrets import secrets
 from netsets.llm.simhash import near_duplicates
 from netsets.llm.tokens import token_output
@@ -141,3 +142,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
