@@ -4,8 +4,9 @@ Rows are dealt by ranges of (id, text hash), so that shards follow each other an
 task sorts, encodes and writes its range, a new shard after SHARD_BYTES. A shard appears under its name only when whole,
 and the manifest lists what finished tasks report, so lost executors leave at most unlisted files.
 
-Encoding splits at ASCII white space, at which the tokenizer always splits too and which it drops, and remembers the ids
-of short pieces. That gives the same ids as encoding the whole text; use it only with tokenizers that do so.
+Encoding splits at ASCII white space, at which the tokenizer always splits too and which it drops, remembers the ids of
+short pieces, and gives new ones to the tokenizer many at a time. Case is dropped first, as the tokenizer does. That gives
+the same ids as encoding the whole text; use it only with lower-casing tokenizers that drop white space.
 
 Defined cases: null or empty text gives the end id alone; a null id sorts first; rows with equal ids keep an entry each, in
 order of their text's hash, then text; an empty table gives no shard; other columns are ignored, whatever their names.
@@ -13,10 +14,12 @@ order of their text's hash, then text; an empty table gives no shard; other colu
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,21 @@ from netsets.llm.sstable import Reader, Writer, id_key, key_id
 
 SHARD_BYTES = 64 << 20
 #: Pieces remembered by a worker, and the longest that are: bounds of its memory.
-CACHE_PIECES, CACHE_PIECE_BYTES = 200_000, 48
+CACHE_PIECES, CACHE_PIECE_BYTES = 800_000, 48
+#: Text bytes whose new pieces are encoded together.
+AT_ONCE = 1 << 20
+
+WORD_END = "</w>"
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Small ASCII or Latin-1 letters, perhaps with one mark after them: the letters are one word of the tokenizer, the mark another.
+LETTERS_MARK = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]?)")
 
 MANIFEST = "shard string, part int, seq int, entries long, tokens long, first_id long, last_id long"
 
 
 class Encoder:
-    """bytes of a text -> ids as little-endian integers of `width` bytes."""
+    """Texts as bytes -> their ids as little-endian integers of `width` bytes."""
 
     held: dict[int, Encoder] = {}
 
@@ -46,6 +57,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+        # for words that are small letters already, the same model without the steps that would not change them
+        plain = json.loads(spec)
+        plain |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}}
+        by_bytes = BYTE_LEVEL["type"] in json.dumps(json.loads(spec).get("pre_tokenizer"))
+        self.for_words = Tokenizer.from_str(json.dumps(plain)) if by_bytes else self.tokenizer
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -57,18 +76,66 @@ class Encoder:
         return cls.held[key]
 
     def __call__(self, text: bytes) -> bytes:
-        pieces = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in self.known})
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-        fresh = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(new, encoded, strict=True)}
-        out = b"".join([self.known.get(p) or fresh.get(p, b"") for p in pieces])
-        if len(self.known) + len(fresh) > CACHE_PIECES:
+        return next(self.all([text]))
+
+    def all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """One result per text, in order. Texts wait until AT_ONCE bytes have come, so that new pieces are encoded together."""
+        waiting, size = [], 0
+        for text in texts:
+            # the tokenizer makes letters small itself; doing so first lets more pieces be known. Special tokens stay as written.
+            waiting.append((text if b"<|" in text else text.translate(LOWER)).split())
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self._encoded(waiting)
+                waiting, size = [], 0
+        yield from self._encoded(waiting)
+
+    def _encoded(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        new = set().union(*texts).difference(self.known) if texts else set()
+        if len(self.known) + len(new) > CACHE_PIECES:
             self.known.clear()
-        self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_PIECE_BYTES)
+            new = set().union(*texts)
+        fresh = self._pieces(new)
+        self.known.update(fresh)
+        for pieces in texts:
+            yield b"".join(map(self.known.__getitem__, pieces))
+        for piece in fresh:
+            if len(piece) > CACHE_PIECE_BYTES:
+                del self.known[piece]
+
+    def _pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        words, marked, others = set(), [], []
+        for piece in pieces:
+            found = LETTERS_MARK.fullmatch(piece)
+            if not found:
+                others.append(piece)
+            elif found[2]:
+                marked.append((piece, found[1], found[2]))
+                words.add(found[1])
+            else:
+                words.add(piece)
+        others += {mark for _, _, mark in marked} - pieces
+        out = self._words([w for w in words if w not in self.known])
+        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in others], add_special_tokens=False)
+        out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(others, encoded, strict=True))
+        for piece, word, mark in marked:
+            out[piece] = (out.get(word) or self.known[word]) + out[mark]
+        return out
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Runs of letters, which never meet across a space: many are encoded as one text and cut after each word's last token."""
+        out = {}
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            joined = b" ".join(part).decode("utf-8")
+            ids = np.array(self.for_words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width if len(ids) else np.zeros(0, np.int64)
+            if len(ends) == len(part):
+                raw, edges = ids.astype(self.kind).tobytes(), [0, *ends.tolist()]
+                out.update((w, raw[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
+            else:  # a tokenizer without word ends
+                encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+                out.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, encoded, strict=True))
         return out
 
 
@@ -93,8 +160,9 @@ def write_shards(docs: DataFrame, spec: str, out: str, id_col: str = "doc_id", t
             rows.append((writer_name, part, len(rows), writer.entries, writer.value_bytes // encode.width, first, last))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), strict=True):
-                doc_id, ids = doc_id.as_py(), encode(text.as_py()) + end
+            encoded = encode.all(text.as_py() for text in batch.column("text").cast(pa.binary()))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                ids += end
                 if writer is None:
                     writer_name, first = f"{out}/shard-{part:06d}-{len(rows):04d}-{attempt}.nsst", doc_id
                     writer = Writer(writer_name, attempt)
