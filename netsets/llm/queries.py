@@ -16,6 +16,7 @@ from netsets.llm.secrets import secrets
 from netsets.llm.simhash import near_duplicates
 from netsets.llm.tokens import token_output
 from netsets.llm.toxicity import toxicity
+from netsets.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +149,37 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+#: Parameters of the registered query: host and path rules, and the listed domains.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+LISTED_DOMAINS = [
+    f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
+    return judge_urls(read(spark, sf_dir, "pages"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op3_url_filter"] = f"""
+    WITH rest AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    part AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM rest),
+    ruled AS (
+        SELECT page_id, host, path,
+               CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
+        FROM part)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                WHEN {" OR ".join(f"('.' || host) LIKE '%.{d}'" for d in LISTED_DOMAINS)} THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled
+"""
