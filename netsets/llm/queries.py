@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from netsets.llm.common import read
 from netsets.llm.decontaminate import benchmark_hits
 from netsets.llm.exact_dedup import exact_duplicates
+from netsets.llm.license_scan import RULES, SENTENCES, license_scan
 from netsets.llm.mixing import mix
 from netsets.llm.pii import personal_data
 from netsets.llm.secrets import secrets
@@ -183,3 +184,40 @@ ORACLES["op3_url_filter"] = f"""
                 WHEN {" OR ".join(f"('.' || host) LIKE '%.{d}'" for d in LISTED_DOMAINS)} THEN 'block' ELSE 'allow' END AS verdict
     FROM ruled
 """
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents")).drop("places")
+
+
+def _license_oracle() -> str:
+    """The rules as stated, each claimed place becoming a bar, one after the other."""
+    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in SENTENCES.items()) + "}"
+    steps, left = [], "CASE WHEN seq = '' THEN '' ELSE seq || ' ' END"
+    for i, (_, sequence) in enumerate(RULES):
+        between = "" if len(sequence) == 1 else "(?:[A-Z][0-9]+ ){0,1}?"
+        pattern = between.join(f"{x} " for x in sequence)
+        before = "ids" if not i else f"s{i - 1}"
+        steps.append(
+            f"s{i} AS (SELECT *, len(regexp_extract_all(l{i}, '{pattern}')) AS n{i}, regexp_replace(l{i}, '{pattern}', '| ', 'g') AS l{i + 1} "
+            + (f"FROM (SELECT *, {left} AS l0 FROM {before}))" if not i else f"FROM {before})")
+        )
+    named = ", ".join(f"CASE WHEN n{i} > 0 THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    return rf"""
+    WITH cut AS (
+        SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;]+(\s|$)', chr(10) || '\1', 'g'), '[\n\r]+') AS sentences FROM documents),
+    ids AS (
+        SELECT doc_id, array_to_string(list_filter(list_transform(sentences, lambda s: {known}[
+            trim(regexp_replace(regexp_replace(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[^a-z0-9\x01]+', ' ', 'g'), '\x01', '.', 'g'))]), lambda i: i IS NOT NULL), ' ') AS seq
+        FROM cut),
+    {", ".join(steps)}
+    SELECT doc_id, seq AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{named}], lambda x: x IS NOT NULL))), ',') AS licenses,
+           ({" + ".join(f"n{i}" for i in range(len(RULES)))})::BIGINT AS n_matches,
+           len(regexp_extract_all(l{len(RULES)}, '[A-Z][0-9]+'))::BIGINT AS n_unclaimed
+    FROM s{len(RULES) - 1}
+    """
+
+
+ORACLES["op2_license_scan"] = _license_oracle()
