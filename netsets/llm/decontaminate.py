@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,3 +173,25 @@ def _search(state: DataFrame, shared, window: int, last: bool) -> DataFrame:
         else f"doc_id long, text string, spans {kind}, items array<bigint>"
     )
     return map_batches(state, make, schema)
+
+
+def with_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, flag_col: str = "contaminated") -> DataFrame:
+    """docs with a flag whether any window occurs; all other columns untouched, and nothing is shuffled."""
+    found = F.lit(False)
+    for block in _blocks(benchmark, item_id_col, item_text_col):
+        found = found | _occurs(docs.sparkSession.sparkContext.broadcast(block), window)(text_of(text_col))
+    return docs.withColumn(flag_col, found)
+
+
+def _occurs(shared, window: int):
+    @F.pandas_udf("boolean")
+    def occurs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = compile_items(shared.value, window)[1]
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = words_of(text.encode())
+                out.append(any(next(table.find(words), None) is not None for table in tables))
+            yield pd.Series(out, dtype=bool)
+
+    return occurs

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from netsets.llm.common import read
 from netsets.llm.decontaminate import benchmark_hits
 from netsets.llm.exact_dedup import exact_duplicates
@@ -221,3 +222,8 @@ def _license_oracle() -> str:
 
 
 ORACLES["op2_license_scan"] = _license_oracle()
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
