@@ -1,7 +1,7 @@
 """Network structure: edges(u, v, w) with u < v in, DataFrames out.
 
-adj(src, dst, w) holds both directions. Triangle and wedge joins start from the end with the lower (degree, id), so that
-no hub's neighbours are paired with each other more than once.
+adj(src, dst, w) holds both directions. Triangles start from the end with the lower (degree, code), so that a hub's neighbours
+are never paired with each other.
 """
 
 from __future__ import annotations
@@ -54,31 +54,49 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return left.join(ends.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v", "w")
 
 
+def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """codes (node, code, degree), and arcs (x, y) by code from each edge's end of lower (degree, code) to the other."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node"))
+    codes = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("code", F.monotonically_increasing_id()))
+    cu, cv = (codes.select(F.col("node").alias(c), F.struct("degree", "code").alias(f"c{c}")) for c in "uv")
+    both = edges.select("u", "v").join(cu, "u").join(cv, "v")
+    return codes, both.select(F.least("cu", "cv")["code"].alias("x"), F.greatest("cu", "cv")["code"].alias("y"))
+
+
+def _coded_triangles(arcs: DataFrame) -> DataFrame:
+    """x, y, z: each triangle once, where both arcs of x and the arc of y meet. A node's list holds at most the square root of twice the
+    edges, and lists are intersected inside a row: no pair of neighbours is ever a row of its own."""
+    lists = cut(arcs.groupBy("x").agg(F.collect_list("y").alias("out")))
+    from_x = lists.where(F.size("out") > 1).select("x", F.explode("out").alias("y"), F.col("out").alias("xs"))
+    met = from_x.join(lists.select(F.col("x").alias("y"), F.col("out").alias("ys")), "y")
+    return met.select("x", "y", F.explode(F.array_intersect("xs", "ys")).alias("z"))
+
+
+def triangle_nodes(edges: DataFrame) -> DataFrame:
+    """a < b < c of every triangle, once."""
+    codes, arcs = _coded(edges)
+    tri = _coded_triangles(arcs)
+    for c in "xyz":
+        tri = tri.join(codes.select(F.col("code").alias(c), F.col("node").alias(f"n{c}")), c)
+    named = tri.select(F.sort_array(F.array("nx", "ny", "nz")).alias("t"))
+    return named.select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """a < b < c with the three weights wab, wac, wbc (of any type). Every triangle once."""
-    deg = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    du, dv = deg.select(F.col("node").alias("u"), F.col("degree").alias("du")), deg.select(F.col("node").alias("v"), F.col("degree").alias("dv"))
-    ranked = edges.join(du, "u").join(dv, "v")
-    up = F.struct("du", "u") < F.struct("dv", "v")
-    out = ranked.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("y"), "w")
-    wedge = out.alias("p").join(out.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.y") < F.col("q.y")))
-    wedge = wedge.select(F.col("p.x").alias("x"), F.col("p.y").alias("u"), F.col("q.y").alias("v"), F.col("p.w").alias("wxu"), F.col("q.w").alias("wxv"))
-    full = wedge.join(edges, ["u", "v"]).withColumnRenamed("w", "wuv")
-    # three cases of where x stands between u < v
-    first, last = F.col("x") < F.col("u"), F.col("x") > F.col("v")
-    pick = lambda lo, mid, hi: F.when(first, F.col(lo)).when(last, F.col(hi)).otherwise(F.col(mid))
-    return full.select(
-        pick("x", "u", "u").alias("a"), pick("u", "x", "v").alias("b"), pick("v", "v", "x").alias("c"),
-        pick("wxu", "wxu", "wuv").alias("wab"), pick("wxv", "wuv", "wxu").alias("wac"), pick("wuv", "wxv", "wxv").alias("wbc"),
-    )
+    tri = triangle_nodes(edges)
+    for p, q in ("ab", "ac", "bc"):
+        tri = tri.join(edges.select(F.col("u").alias(p), F.col("v").alias(q), F.col("w").alias(f"w{p}{q}")), [p, q])
+    return tri.select("a", "b", "c", "wab", "wac", "wbc")
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """node, degree, triangles, coefficient."""
-    corners = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    joined = degrees(edges).select("node", "degree").join(corners, "node", "left").na.fill(0, ["triangles"])
+    codes, arcs = _coded(edges)
+    corners = _coded_triangles(arcs).select(F.explode(F.array("x", "y", "z")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("triangles"))
+    joined = codes.join(corners, "code", "left").na.fill(0, ["triangles"])
     pairs = F.col("degree") * (F.col("degree") - 1)
-    return joined.withColumn("coefficient", F.when(pairs > 0, 2 * F.col("triangles") / pairs).otherwise(F.lit(0.0)))
+    return joined.select("node", "degree", "triangles", F.when(pairs > 0, 2 * F.col("triangles") / pairs).otherwise(F.lit(0.0)).alias("coefficient"))
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
