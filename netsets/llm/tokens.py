@@ -32,7 +32,7 @@ from netsets.llm.sstable import Reader, Writer, id_key, key_id
 
 SHARD_BYTES = 64 << 20
 #: Pieces remembered by a worker, and the longest that are: bounds of its memory.
-CACHE_PIECES, CACHE_PIECE_BYTES = 800_000, 48
+CACHE_PIECES, CACHE_PIECE_BYTES = 1_200_000, 48
 #: Text bytes whose new pieces are encoded together.
 AT_ONCE = 1 << 20
 
@@ -45,6 +45,16 @@ LETTERS_MARK = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]?)")
 MANIFEST = "shard string, part int, seq int, entries long, tokens long, first_id long, last_id long"
 
 
+def _places_of_none(values: list) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class Encoder:
     """Texts as bytes -> their ids as little-endian integers of `width` bytes."""
 
@@ -91,17 +101,17 @@ class Encoder:
         yield from self._encoded(waiting)
 
     def _encoded(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        new = set().union(*texts).difference(self.known) if texts else set()
-        if len(self.known) + len(new) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES:
             self.known.clear()
-            new = set().union(*texts)
-        fresh = self._pieces(new)
-        self.known.update(fresh)
-        for pieces in texts:
-            yield b"".join(map(self.known.__getitem__, pieces))
-        for piece in fresh:
-            if len(piece) > CACHE_PIECE_BYTES:
-                del self.known[piece]
+        known = self.known
+        found = [list(map(known.get, pieces)) for pieces in texts]
+        gaps = [_places_of_none(ids) for ids in found]
+        fresh = self._pieces({pieces[i] for pieces, at in zip(texts, gaps, strict=True) for i in at})
+        for pieces, ids, at in zip(texts, found, gaps, strict=True):
+            for i in at:
+                ids[i] = fresh[pieces[i]]
+            yield b"".join(ids)
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_PIECE_BYTES)
 
     def _pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         words, marked, others = set(), [], []
