@@ -1 +1 @@
-"""streaming of netsets."""
+"""Streams: networks that grow batch by batch."""
