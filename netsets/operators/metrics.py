@@ -116,6 +116,15 @@ def mean_and_error(rows: DataFrame, value: str, by: list[str] | None = None) ->
 def cross_validated(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float = 0.5) -> DataFrame:
     """iteration, threshold, n_preds, precision, recall: predictions are judged by the iteration's test references (xval: iteration, cid);
     those that match training references only are left out of it. scored may have a column `iteration`; else all meet every one."""
+    steps = _xval_steps(scored, preds_x, refs_x, xval, threshold)
+    n_refs = xval.groupBy("iteration").agg(F.count(F.lit(1)).alias("n_refs"))
+    # a row per iteration
+    run = steps.join(F.broadcast(n_refs), "iteration")
+    return run.select("iteration", *_running(Window.partitionBy("iteration").orderBy(F.desc("score"))))
+
+
+def _xval_steps(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float) -> DataFrame:
+    """iteration, score, new_preds, new_correct, new_refs: a row per distinct score."""
     pairs = overlaps(preds_x, refs_x).where(_score(size_aware_match) >= threshold).select(F.col("a").alias("cid"), F.col("b").alias("ref"))
     turns = xval.select("iteration").distinct()
     base = scored if "iteration" in scored.columns else scored.crossJoin(F.broadcast(turns))
@@ -128,17 +137,21 @@ def cross_validated(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xv
     judged = judged.where("ok = 1 or some is null")
     steps = judged.groupBy("iteration", "score").agg(F.count(F.lit(1)).alias("new_preds"), F.count("ok").alias("new_correct"))
     first = hits.groupBy("iteration", "ref").agg(F.max("score").alias("score")).groupBy("iteration", "score").agg(F.count(F.lit(1)).alias("new_refs"))
-    steps = steps.join(first, ["iteration", "score"], "left").na.fill(0, ["new_refs"])
-    n_refs = xval.groupBy("iteration").agg(F.count(F.lit(1)).alias("n_refs"))
-    upto = Window.partitionBy("iteration").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.join(F.broadcast(n_refs), "iteration")
-    return run.select(
-        "iteration",
-        F.col("score").alias("threshold"),
-        F.sum("new_preds").over(upto).alias("n_preds"),
-        (F.sum("new_correct").over(upto) / F.sum("new_preds").over(upto)).alias("precision"),
-        (F.sum("new_refs").over(upto) / F.col("n_refs")).alias("recall"),
-    )
+    return steps.join(first, ["iteration", "score"], "left").na.fill(0, ["new_refs"])
+
+
+def pooled_cross_validated(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """threshold, n_preds, precision, recall of all iterations in one list: a reference counts once for each iteration that tests it."""
+    steps = _xval_steps(scored, preds_x, refs_x, xval, threshold)
+    steps = steps.groupBy("score").agg(*[F.sum(c).alias(c) for c in ("new_preds", "new_correct", "new_refs")])
+    run = steps.join(F.broadcast(xval.agg(F.count(F.lit(1)).alias("n_refs"))))
+    return run.select(*_running(Window.orderBy(F.desc("score"))))
+
+
+def _running(order) -> list:
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    preds = F.sum("new_preds").over(upto)
+    return [F.col("score").alias("threshold"), preds.alias("n_preds"), (F.sum("new_correct").over(upto) / preds).alias("precision"), (F.sum("new_refs").over(upto) / F.col("n_refs")).alias("recall")]
 
 
 def reference_match_rate(preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -579,11 +579,27 @@ def matching_ratio(spark, sf):
 
 
 
-@query()
+XVAL = f"""{DENSITY.format('preds')}, m AS (SELECT a AS cid, b AS ref FROM ov WHERE ({AWARE}) >= 0.5), turns AS (SELECT DISTINCT iteration FROM xval),
+    hits AS (SELECT x.iteration, m.cid, m.ref, score FROM m JOIN xval x ON x.cid = m.ref JOIN dens_preds p ON p.cid = m.cid),
+    judged AS (SELECT t.iteration, p.cid, p.score, (t.iteration, p.cid) IN (SELECT (iteration, cid) FROM hits) AS ok FROM dens_preds p, turns t
+        WHERE (t.iteration, p.cid) IN (SELECT (iteration, cid) FROM hits) OR p.cid NOT IN (SELECT cid FROM m)),
+    st AS (SELECT j.iteration, j.score, count(*) AS np, count(*) FILTER (ok) AS nc, coalesce(any_value(nr), 0) AS nr FROM judged j
+        LEFT JOIN (SELECT iteration, score, count(*) AS nr FROM (SELECT iteration, ref, max(score) AS score FROM hits GROUP BY 1, 2) GROUP BY 1, 2) f USING (iteration, score) GROUP BY 1, 2)"""
+
+
+@query("net ov xval", f"""--ctes {XVAL} SELECT iteration, score AS threshold, (sum(np) OVER o)::BIGINT AS n_preds, round(sum(nc) OVER o / (sum(np) OVER o)::DOUBLE, 6) AS precision,
+    round(sum(nr) OVER o / (SELECT count(*) FROM xval x WHERE x.iteration = st.iteration)::DOUBLE, 6) AS recall FROM st WINDOW o AS (PARTITION BY iteration ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""")
 def xval_curves(spark, sf):
     return only(M.cross_validated(_scored_preds(spark, sf), V.preds(spark, sf), V.refs(spark, sf), V.xval(spark, sf)), "iteration", "threshold", "n_preds", "precision", "recall")
 
 
+@query("net ov xval", f"""--ctes {XVAL}, su AS (SELECT score, sum(np) AS np, sum(nc) AS nc, sum(nr) AS nr FROM st GROUP BY 1)
+    SELECT score AS threshold, (sum(np) OVER o)::BIGINT AS n_preds, round(sum(nc) OVER o / (sum(np) OVER o)::DOUBLE, 6) AS precision,
+    round(sum(nr) OVER o / (SELECT count(*) FROM xval)::DOUBLE, 6) AS recall FROM su WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""")
+def xval_pooled_curve(spark, sf):
+    return only(M.pooled_cross_validated(_scored_preds(spark, sf), V.preds(spark, sf), V.refs(spark, sf), V.xval(spark, sf)), "threshold", "n_preds", "precision", "recall")
+
+
 @query("ov rsize", f"""--ctes hit AS (SELECT DISTINCT b AS cid FROM ov WHERE ({AWARE}) >= 0.5)
     SELECT cid, 1::BIGINT AS n_tested, (cid IN (FROM hit))::BIGINT AS n_matched, (cid IN (FROM hit))::INT::DOUBLE AS rate FROM rsize""")
 def xval_match_rate(spark, sf):
