@@ -6,6 +6,7 @@ are never paired with each other.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,11 +100,40 @@ def clustering(edges: DataFrame) -> DataFrame:
     return joined.select("node", "degree", "triangles", F.when(pairs > 0, 2 * F.col("triangles") / pairs).otherwise(F.lit(0.0)).alias("coefficient"))
 
 
+#: Links between stars that one task may finish; more are contracted by joins first.
+FINISH_LINKS = 200_000
+
+
+def _finish(links: DataFrame) -> DataFrame:
+    """component, above from links (a, b) of a bounded number: union-find in one task."""
+
+    def run(frames):
+        up: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"], frame["b"], strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        if up:
+            yield pd.DataFrame({"component": list(up), "above": [find(x) for x in up]})
+
+    return links.select(F.col("a").cast("string"), F.col("b").cast("string")).coalesce(1).mapInPandas(run, "component string, above string")
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """node, component: the smallest node of its component. Contraction by smallest neighbours, a checkpoint a round."""
+    """node, component: the smallest node (as text) of its component. Nodes hook to their smallest neighbour, hooks shorten to stars, and
+    only links between stars remain, a checkpoint a round; once few are left, one task ends it."""
+    edges = cut(edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")))
     links = cut(edges.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    roots = cut(nodes(edges).withColumn("component", F.col("node")))
-    while not links.isEmpty():
+    roots = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node"))
+    while (count := links.count()) > FINISH_LINKS:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("component"), F.least("a", "m").alias("above")))
         while True:
@@ -112,16 +142,23 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
             hooks = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
-        roots = cut(roots.join(hooks, "component", "left").select("node", F.coalesce("above", "component").alias("component")))
+        roots = cut(_renamed(roots, hooks))
         a, b = (hooks.select(F.col("component").alias(c), F.col("above").alias(f"r{c}")) for c in "ab")
         links = links.join(a, "a").join(b, "b").where("ra <> rb")
         links = cut(links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if count:
+        roots = _renamed(roots, _finish(links))
+    roots = cut(roots)
     if vertices is not None:
         alone = vertices.select("node").distinct().join(roots, "node", "left_anti")
         roots = roots.unionByName(alone.withColumn("component", F.col("node")))
     return roots
 
 
+def _renamed(roots: DataFrame, hooks: DataFrame) -> DataFrame:
+    return roots.join(hooks, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+
+
 def relative_connectivity(edges: DataFrame) -> DataFrame:
     """n_nodes, n_components, largest, relative_connectivity: one row."""
     sizes = components(edges).groupBy("component").count()
@@ -154,6 +191,7 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
 
 def graph_stats(edges: DataFrame) -> DataFrame:
     """n_nodes, n_edges, n_components, mean_clustering: one row."""
+    edges = cut(edges)
     size = edges.agg(F.count(F.lit(1)).alias("n_edges"))
     parts = relative_connectivity(edges).select("n_nodes", "n_components")
     mean = clustering(edges).agg(F.avg("coefficient").alias("mean_clustering"))

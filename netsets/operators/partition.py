@@ -82,6 +82,7 @@ def hub_threshold(edges: DataFrame) -> DataFrame:
 
     The search is sequential in rank: it gets node numbers and edges between them in one group, two integers an edge.
     """
+    edges = cut(edges)
     ranked = cut(ranked_by_degree(edges))
     a, b = ranked.select(F.col("node").alias("u"), (F.col("place") - 1).alias("a")), ranked.select(F.col("node").alias("v"), (F.col("place") - 1).alias("b"))
     pairs = edges.select("u", "v").join(a, "u").join(b, "v").select(F.lit(0).alias("g"), "a", "b")

@@ -29,7 +29,9 @@ def test_canonical_last_wins(spark):
     assert {tuple(r) for r in G.canonical(rows, order="at").collect()} == {("a", "b", 2.0), ("a", "c", 3.0)}
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("finish", [0, 200_000])
+def test_components_of_a_long_path(spark, monkeypatch, finish):
+    monkeypatch.setattr(G, "FINISH_LINKS", finish)
     rows = [(f"{i:03d}", f"{i + 1:03d}", 1) for i in range(60)] + [("x1", "x2", 1)]
     random.Random(0).shuffle(rows)
     got = {r.node: r.component for r in G.components(edges_of(spark, rows), spark.createDataFrame([("alone",)], "node string")).collect()}
