@@ -40,6 +40,17 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows that Spark hands to Python at once: texts are long, and every batch is held several times over.
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands Python at most ROWS_PER_BATCH rows at once in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Applies a batch function; `make` runs once per task, so caches live as long as the task."""
 
@@ -50,6 +61,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if out is not None and out.num_rows:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsets.llm.common import map_batches, text_of
+from netsets.llm.common import map_batches, small_batches, text_of
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 16 << 20
@@ -177,6 +177,7 @@ def _search(state: DataFrame, shared, window: int, last: bool) -> DataFrame:
 
 def with_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, flag_col: str = "contaminated") -> DataFrame:
     """docs with a flag whether any window occurs; all other columns untouched, and nothing is shuffled."""
+    small_batches(docs.sparkSession)
     found = F.lit(False)
     for block in _blocks(benchmark, item_id_col, item_text_col):
         found = found | _occurs(docs.sparkSession.sparkContext.broadcast(block), window)(text_of(text_col))

@@ -14,6 +14,7 @@ null, or null; an empty table gives an empty result; other columns are ignored,
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -36,6 +37,8 @@ BUCKET = 2048
 FREE_BITS_LEFT = 14
 #: Shingles whose bits are counted at once.
 COUNT_AT_ONCE = 1 << 14
+#: Bucket rows that one call compares, besides a bucket that goes on.
+COMPARE_AT_ONCE = 1 << 14
 
 #: ASCII capitals to small letters; every other byte, UTF-8 or not, stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -113,11 +116,17 @@ def _links_in_buckets(rows: DataFrame, radius: int) -> DataFrame:
     dealt = rows.repartition(parts, "mask", "bits").sortWithinPartitions("mask", "bits", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        held, waiting, rows = None, [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+                rows += batch.num_rows
+            if batch is not None and rows < COMPARE_AT_ONCE:
+                continue
+            if not waiting:
+                break
+            cols = [np.concatenate(x) for x in zip(*([held] if held is not None else []), *waiting, strict=True)]
+            waiting, rows = [], 0
             # the last bucket may go on in the next batch
             last = len(cols[0]) - 1
             same = (cols[0] == cols[0][last]) & (cols[1] == cols[1][last])

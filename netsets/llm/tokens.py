@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsets.llm.common import fresh_path, text_of
+from netsets.llm.common import fresh_path, small_batches, text_of
 from netsets.llm.sstable import Reader, Writer, id_key, key_id
 
 SHARD_BYTES = 64 << 20
@@ -157,6 +157,7 @@ def write_shards(docs: DataFrame, spec: str, out: str, id_col: str = "doc_id", t
     thin = thin.withColumn("h", F.xxhash64("text"))
     dealt = thin.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
     shared = spark.sparkContext.broadcast(spec)
+    small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(shared.value)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsets.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from netsets.llm.common import cut, text_of
+from netsets.llm.common import cut, small_batches, text_of
 
 FOLDS = 5
 SAMPLE_ROWS = 20_000
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most about sample_rows small rows, so broadcasting them is safe at any size, and no text is shuffled
     picked = F.broadcast(known.where(drawn).withColumn("fold", fold_of("id").cast("int")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(picked, "id")
+    small_batches(docs.sparkSession)
     texts = cut(texts.select("fold", "y", "text"))
     sizes = {(r.fold, r.y): r["count"] for r in texts.groupBy("fold", "y").count().collect()}
     total = [sum(n for (_, y), n in sizes.items() if y == k) for k in (0, 1)]
@@ -223,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with their score, all other columns untouched."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
