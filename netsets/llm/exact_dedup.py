@@ -23,9 +23,11 @@ from netsets.llm.common import cut, text_of
 
 #: Bytes of a text that lead its order key; the digest orders what they leave equal.
 LEAD_BYTES = 24
-#: Buckets per shuffle partition, and sampled keys per bucket: bounds of what the driver sees.
+#: Buckets per shuffle partition, sampled keys per bucket, and the most sampled keys: bounds of what the driver sees. Splitters decide
+#: only how evenly rows are dealt, never the result.
 BUCKETS_PER_PARTITION = 4
 SAMPLES_PER_BUCKET = 30
+MOST_SAMPLES = 1_000_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, normalise: Callable[[Column], Column]) -> DataFrame:
@@ -41,8 +43,8 @@ def _splitters(docs: DataFrame, keyed: Callable[[DataFrame], DataFrame], buckets
     rows = docs.count()
     if not rows:
         return []
-    share = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)
-    drawn = keyed(docs.sample(False, share, seed=42)).select("k", "id").limit(2 * SAMPLES_PER_BUCKET * buckets).collect()
+    samples = min(SAMPLES_PER_BUCKET * buckets, MOST_SAMPLES)
+    drawn = keyed(docs.sample(False, min(1.0, samples / rows), seed=42)).select("k", "id").limit(2 * samples).collect()
     drawn = sorted({(r.k, r.id is not None, r.id or 0) for r in drawn})
     picked = drawn[:: max(1, -(-len(drawn) // buckets))][1:]
     return [{"k": k, "id": i if there else None} for k, there, i in picked]
