@@ -14,6 +14,7 @@ from netsets.functions.sets import bader
 from netsets.operators import kernels
 from netsets.operators.clusters import overlaps
 from netsets.operators.graph import components, ranked_by_degree, without
+from netsets.operators.matching import heaviest_matching
 from netsets.operators.weights import p3_complement
 from netsets.plans.lineage import cut
 
@@ -125,6 +126,16 @@ def matching_ratio(preds_x: DataFrame, refs_x: DataFrame, least: float = 0.2) ->
     return total.join(F.broadcast(n)).select("total", "n_refs", (F.col("total") / F.col("n_refs")).alias("ratio"))
 
 
+def heaviest_pairs(edges: DataFrame) -> DataFrame:
+    """(u, v): a matching of greatest total weight in any network, odd circles included; components are matched apart."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = heaviest_matching(zip(frame.u, frame.v, frame.w.astype(float), strict=True))
+        return pd.DataFrame(pairs, columns=["u", "v"])
+
+    return _by_component(edges).groupBy("component").applyInPandas(run, "u string, v string")
+
+
 def node_connectivity(edges: DataFrame) -> DataFrame:
     """component, n_nodes, connectivity: mean over node pairs of the number of node-disjoint paths. For small components."""
 

@@ -497,6 +497,11 @@ def complement_partition(spark, sf):
     return P.complement_partition(cut(V.kept(spark, sf)))
 
 
+@query()
+def heaviest_pairs(spark, sf):
+    return P.heaviest_pairs(cut(V.kept(spark, sf)))
+
+
 @query()
 def cohesive_sets(spark, sf):
     return P.cohesive_sets(cut(V.kept(spark, sf)))
