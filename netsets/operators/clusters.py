@@ -54,8 +54,9 @@ def coherence(sets_x: DataFrame, edges: DataFrame) -> DataFrame:
 
 def overlaps(a_x: DataFrame, b_x: DataFrame) -> DataFrame:
     """a, b, both, na, nb for sets that share a member: an inverted index on members, so disjoint pairs never appear."""
-    left = a_x.select(F.col("cid").alias("a"), "node").distinct()
-    right = b_x.select(F.col("cid").alias("b"), "node").distinct()
+    # the stated filter is the one that the join implies, so that the sizes reuse the exchange of the members
+    left = a_x.where("node is not null").select(F.col("cid").alias("a"), "node").distinct()
+    right = b_x.where("node is not null").select(F.col("cid").alias("b"), "node").distinct()
     both = left.join(right, "node").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     na, nb = left.groupBy("a").agg(F.count(F.lit(1)).alias("na")), right.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
     return both.join(na, "a").join(nb, "b")

@@ -22,7 +22,8 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts bought together. An order's parts are gathered once and paired inside it: one exchange of rows, none of pairs before
     they are counted. An order has few parts."""
-    listed = basket(spark, sf_dir).groupBy("o").agg(F.sort_array(F.collect_list("node")).alias("p"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("node"))
+    listed = rows.groupBy("o").agg(F.sort_array(F.collect_set("node")).alias("p")).where(F.size("p") > 1)
     first = listed.select("p", F.posexplode("p").alias("i", "u"))
     pairs = first.select("u", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("v"))
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
