@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsets.functions.sets import bader
-from netsets.operators import kernels
+from netsets.operators import kernels, published
 from netsets.operators.clusters import overlaps
 from netsets.operators.graph import components, ranked_by_degree, without
 from netsets.operators.matching import heaviest_matching
@@ -78,6 +78,25 @@ def cohesive_sets(edges: DataFrame, least_size: int = 3, density: float = 0.3, p
     return _by_component(edges).groupBy("component").applyInPandas(run, SETS)
 
 
+def published_sets(edges: DataFrame, method: str, **options) -> DataFrame:
+    """(cid, node): overlapping sets by merged_cliques, dense_growth or cores_and_attachments."""
+    if method not in ("merged_cliques", "dense_growth", "cores_and_attachments"):
+        raise ValueError(method)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        names, adj = kernels.graph(list(zip(frame.u, frame.v, strict=True)))
+        if method == "merged_cliques":
+            at = {x: i for i, x in enumerate(names)}
+            weight = {(at[u], at[v]): float(w) for u, v, w in zip(frame.u, frame.v, frame.w, strict=True)}
+            found = published.merged_cliques(adj, weight, **options)
+        else:
+            found = getattr(published, method)(adj, **options)
+        rows = [(f"{names[0]}#{k}", names[i]) for k, mask in enumerate(found) for i in kernels.bits(mask)]
+        return pd.DataFrame(rows, columns=["cid", "node"])
+
+    return _by_component(edges).groupBy("component").applyInPandas(run, SETS)
+
+
 def hub_threshold(edges: DataFrame) -> DataFrame:
     """n_top, threshold: the rank at which the top nodes' largest component jumps up most, and the degree there (0: no jump).
 

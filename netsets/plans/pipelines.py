@@ -19,6 +19,7 @@ from netsets.operators import weights as W
 from netsets.plans.lineage import cut
 
 METHODS = ("coherent", "complement", "cohesive")
+PUBLISHED = ("merged_cliques", "dense_growth", "cores_and_attachments")
 
 
 def denoise(net: DataFrame, refs_x: DataFrame, negative: DataFrame | None = None, mode: str = "perpair", confidence: float = 0.0, direct: DataFrame | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def partition(edges: DataFrame, method: str) -> DataFrame:
         return P.complement_partition(edges)
     if method == "cohesive":
         return P.cohesive_sets(edges)
-    raise ValueError(method)
+    return P.published_sets(edges, method)
 
 
 def evaluate(scored: DataFrame, sets_x: DataFrame, refs_x: DataFrame, method: str, gold: str, network: str) -> DataFrame:

@@ -507,6 +507,21 @@ def cohesive_sets(spark, sf):
     return P.cohesive_sets(cut(V.kept(spark, sf)))
 
 
+@query()
+def merged_cliques(spark, sf):
+    return P.published_sets(cut(V.kept(spark, sf)), "merged_cliques", least=3)
+
+
+@query()
+def dense_growth(spark, sf):
+    return P.published_sets(cut(V.kept(spark, sf)), "dense_growth", least=3)
+
+
+@query()
+def cores_and_attachments(spark, sf):
+    return P.published_sets(cut(V.kept(spark, sf)), "cores_and_attachments")
+
+
 # ---------------------------------------------------------------- evaluation
 
 
