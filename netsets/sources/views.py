@@ -71,8 +71,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u, v, s2, s4: edge scores in tenths for the small-set methods, from the weights of net2."""
-    return net2(spark, sf_dir).select("u", "v", (F.least(F.col("w"), F.lit(8.0)) / 10).alias("s2"), F.lit(0.1).alias("s4"))
+    """u, v, s2, s4: edge scores in elevenths for the small-set methods, from the weights of net2: no result then ends on a decimal tie."""
+    return net2(spark, sf_dir).select("u", "v", (F.least(F.col("w"), F.lit(8.0)) / 11).alias("s2"), F.lit(0.1).alias("s4"))
 
 
 def supp_net(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ SQL = {
     "evidence": """SELECT u, v, 'ORDERS' AS subtype, w AS score FROM kept
         UNION ALL SELECT u, v, 'SUPP', count(*)::DOUBLE FROM kept JOIN psupp a ON a.node = u JOIN psupp b ON b.node = v AND a.l_suppkey = b.l_suppkey GROUP BY u, v
         UNION ALL SELECT u, v, 'SIZE', abs(a.p_size - b.p_size)::DOUBLE FROM kept JOIN part a ON CAST(a.p_partkey AS VARCHAR) = u JOIN part b ON CAST(b.p_partkey AS VARCHAR) = v""",
-    "scores": "SELECT u, v, least(w, 8.0) / 10 AS s2, 0.1::DOUBLE AS s4 FROM net2",
+    "scores": "SELECT u, v, least(w, 8.0) / 11 AS s2, 0.1::DOUBLE AS s4 FROM net2",
     "ssupp": "SELECT DISTINCT l_partkey, 'S' || l_suppkey AS node FROM lineitem",
     "supp_net": "SELECT a.node AS u, b.node AS v, count(*)::DOUBLE AS w FROM ssupp a JOIN ssupp b ON a.l_partkey = b.l_partkey AND a.node < b.node GROUP BY 1, 2",
     "links": "SELECT 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'R' || r_regionkey, 'root' FROM region",
