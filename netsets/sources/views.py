@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsets.plans.lineage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +61,7 @@ def neg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u, v, subtype, score for kept pairs: ORDERS (weight), SUPP (shared suppliers, where there are any), SIZE (size difference)."""
-    pairs = kept(spark, sf_dir)
+    pairs = cut(kept(spark, sf_dir))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node"), "p_size")
     s = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("node"), "l_suppkey").distinct()
     su, sv = s.select(F.col("node").alias("u"), "l_suppkey"), s.select(F.col("node").alias("v"), "l_suppkey")
