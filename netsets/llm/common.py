@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,32 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word as the contracts count it: code points other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from netsets.plans.lineage import cut, shared_dir
 
+__all__ = ["WORD", "cut", "fresh_path", "map_batches", "read", "shared_dir", "small_batches", "text_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="netsets-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
+#: A word as the contracts count it: code points other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the shared folder: no recomputation, and safe when executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
