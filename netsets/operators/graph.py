@@ -55,7 +55,7 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return left.join(ends.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v", "w")
 
 
-def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """codes (node, code, degree), and arcs (x, y) by code from each edge's end of lower (degree, code) to the other."""
     ends = edges.select(F.explode(F.array("u", "v")).alias("node"))
     codes = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("code", F.monotonically_increasing_id()))
@@ -64,7 +64,7 @@ def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return codes, both.select(F.least("cu", "cv")["code"].alias("x"), F.greatest("cu", "cv")["code"].alias("y"))
 
 
-def _coded_triangles(arcs: DataFrame) -> DataFrame:
+def coded_triangles(arcs: DataFrame) -> DataFrame:
     """x, y, z: each triangle once, where both arcs of x and the arc of y meet. A node's list holds at most the square root of twice the
     edges, and lists are intersected inside a row: no pair of neighbours is ever a row of its own."""
     lists = cut(arcs.groupBy("x").agg(F.collect_list("y").alias("out")))
@@ -75,8 +75,8 @@ def _coded_triangles(arcs: DataFrame) -> DataFrame:
 
 def triangle_nodes(edges: DataFrame) -> DataFrame:
     """a < b < c of every triangle, once."""
-    codes, arcs = _coded(edges)
-    tri = _coded_triangles(arcs)
+    codes, arcs = coded(edges)
+    tri = coded_triangles(arcs)
     for c in "xyz":
         tri = tri.join(codes.select(F.col("code").alias(c), F.col("node").alias(f"n{c}")), c)
     named = tri.select(F.sort_array(F.array("nx", "ny", "nz")).alias("t"))
@@ -93,8 +93,8 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def clustering(edges: DataFrame) -> DataFrame:
     """node, degree, triangles, coefficient."""
-    codes, arcs = _coded(edges)
-    corners = _coded_triangles(arcs).select(F.explode(F.array("x", "y", "z")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("triangles"))
+    codes, arcs = coded(edges)
+    corners = coded_triangles(arcs).select(F.explode(F.array("x", "y", "z")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("triangles"))
     joined = codes.join(corners, "code", "left").na.fill(0, ["triangles"])
     pairs = F.col("degree") * (F.col("degree") - 1)
     return joined.select("node", "degree", "triangles", F.when(pairs > 0, 2 * F.col("triangles") / pairs).otherwise(F.lit(0.0)).alias("coefficient"))
