@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from netsets.llm.common import cut, fresh_path, read
 from netsets.llm.decontaminate import with_contaminated
+from netsets.llm.jaccard import near_copies
 from netsets.llm.mixing import mix
-from netsets.llm.simhash import near_duplicates
 from netsets.llm.tokens import token_output
 from netsets.llm.toxicity import fit, with_toxicity
 
@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat its id, the first text."""
-    found = cut(near_duplicates(docs).where("doc_id is not null"))
+    """Of each group of near copies (word shingles of five, Jaccard similarity 0.8 or more) the document with the smallest id stays; of rows that repeat its id, the first text."""
+    found = cut(near_copies(docs).where("doc_id is not null"))
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
