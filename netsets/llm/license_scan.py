@@ -65,8 +65,8 @@ RULES = (
 GAP = 1
 #: A sentence ends at a line break, or at a mark followed by white space or the end.
 SENTENCE_END = r"[\n\r]+|[.!?;]+(?=\s|$)"
-#: Words of which every known sentence has one; lines without any need no cutting.
-MARKERS = r"(?i)licen[sc]e|permission|software|program|redistribution|neither the name|all rights|spdx"
+#: Single words of which every known sentence has one, as normalisation keeps them whole; sentences without any are not looked up.
+MARKERS = r"(?i)licen[sc]e|permission|software|program|redistribution|reserved|spdx"
 
 
 def normalised(sentence: Column) -> Column:

@@ -69,3 +69,12 @@ def test_plan_has_no_exchange_and_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = license_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_odd_white_space(spark):
+    texts = ["All  rights reserved", "All\trights reserved.", "All\u00a0rights reserved", "ALL-RIGHTS-RESERVED"]
+    texts += [re.sub(" ", gap, s) for s in SENTENCES.values() for gap in ("\t", "\u00a0", " - ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.n_matches, r.n_unclaimed) for r in license_scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t) and got[i][0], t
