@@ -97,12 +97,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Base spans, all spans, and the score of each of all; sorted by kind, then start."""
     base = base_spans(text)
     added = []
-    for m in IBAN.finditer(text):
+    at = 0
+    while m := IBAN.search(text, at):
         # white space may have joined what follows: the longest confirmed beginning at a space or the end is it
         ends = [i for i in range(m.start() + 15, m.end() + 1) if i == m.end() or text[i] == " "]
         end = next((e for e in reversed(ends) if 15 <= len(raw := text[m.start() : e].replace(" ", "")) <= 34 and mod97(raw)), 0)
         if end:
             added.append((4, m.start(), end))
+        at = end or m.start() + 1  # another may begin inside a match that is not confirmed, or after the confirmed part of one
     added += [(5, m.start(), m.end()) for m in SSN.finditer(text) if _ssn(m[0])]
     scored = [(s, score(text, *s)) for s in base] + [(s, x) for s in added if (x := score(text, *s)) >= MIN_SCORE]
     return base, [s for s, _ in scored], [x for _, x in scored]

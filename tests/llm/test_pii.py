@@ -98,3 +98,9 @@ def test_rows(spark):
         want.append((str(i), *[sum(k == x for k, _, _ in b) for x in range(4)], hashlib.sha256(joined(b).encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(want)
     assert personal_data(docs.limit(0)).collect() == []
+
+
+def test_ibans_that_a_match_runs_over():
+    one, two = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for text, want in ((f"{one} {two} {one}", [one, two, one]), (f"AB12 {one}", [one]), (f"AB12 CD34 {two}, AB12", [two])):
+        assert [text[a:b] for k, a, b in scan(text)[1] if k == 4] == want
