@@ -143,8 +143,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    words = [public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")]
+    found = secrets(read(spark, sf_dir, "documents"), vocabularies=words)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "guesses")
 
 
 @query

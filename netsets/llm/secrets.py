@@ -1,25 +1,26 @@
 """Secret scan: stated patterns, and password guess cost for values that stand where credentials stand.
 
-Base spans are assign, access and hex, as stated below. The method looks at values in credential contexts that these leave
-(other key words, URLs with a password, authorization headers) and adds a `guess` span where the cheapest segmentation of the
-value costs at least MIN_GUESSES; each assign span gets its value's cost too, as a score that removes nothing.
+Base spans are assign, access and hex, as stated below. The method looks at whole values in credential contexts (key words, URLs
+with a password, authorization headers) and adds a `guess` span where the cheapest segmentation of the value costs at least
+MIN_GUESSES and no base span holds all of it; each assign span gets its value's cost too, as a score that removes nothing. Words
+of the segmentation come from the stated list and from the tokenizer vocabularies whose paths are given, by their rank there.
 
-Defined cases: null or empty text has no spans; texts are scanned whole; a value of any length is scored by its first
-characters in detail and the rest by brute force, which can only add; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+Defined cases: null or empty text has no spans; texts are scanned and values costed whole, at any length; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsets.llm.common import map_batches, text_of
-from netsets.llm.guesses import guess_cost
+from netsets.llm.guesses import Guesser, ranked, vocabulary_words
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -52,7 +53,7 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[float | None]]:
+def scan(text: str, guess: Guesser) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[float | None]]:
     """Base spans; all spans; and for each of all, log10 guesses of its value where it stands in a credential context."""
     low = text.lower()
     base = base_spans(text, low)
@@ -60,17 +61,18 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     for start, kind, end in base:
         if kind == 0:
             value = ASSIGN.match(text, start, end)
-            spans[start, kind, end] = guess_cost(value[2]) if value else None
+            spans[start, kind, end] = guess(value[2]) if value else None
     if any(w in low for w in WORDS) or any(w in low for w in MORE_WORDS):
-        covered = [(a, b) for a, _, b in base]
+        at = 0  # base spans before it end before the values still to come begin
         for m in CONTEXT.finditer(text):
-            group = m.lastindex
-            a, b = m.span(group)
+            a, b = m.span(m.lastindex)
             while b > a and text[b - 1] in ".,;:!?)]}":
                 b -= 1
-            if b - a < LEAST_ASSIGN or any(x < b and a < y for x, y in covered):
+            while at < len(base) and base[at][2] <= a:
+                at += 1
+            if b - a < LEAST_ASSIGN or any(x <= a and b <= y for x, _, y in base[at : at + len(KINDS)]):
                 continue
-            cost = guess_cost(text[a:b])
+            cost = guess(text[a:b])
             if cost >= MIN_GUESSES:
                 spans[a, 3, b] = cost
     order = sorted(spans)
@@ -84,27 +86,32 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("log10_guesses", pa.float64())]))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", values: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (kind, start, end, value, log10_guesses).
-    With values=False the texts of spans are left out of `found`, so that a report holds no secret."""
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", values: bool = True, vocabularies: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, guesses (log10 guesses of each of the spans, two
+    places, joined likewise; empty where a span has none), found (kind, start, end, value, log10_guesses). `vocabularies`: files of
+    tokenizers that the driver reads. With values=False the texts of spans are left out of `found`, so that a report holds no secret."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranked(*map(vocabulary_words, vocabularies)))
 
     def make():
+        guess = Guesser(shared.value)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for text in batch.column(1):
                 text = text.as_py()
-                base, spans, costs = scan(text)
+                base, spans, costs = scan(text, guess)
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 found = [{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b] if values else None, "log10_guesses": c} for (a, k, b), c in zip(spans, costs, strict=True)]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), found))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), FOUND)
+                guesses = ",".join("" if c is None else f"{c:.2f}" for c in costs)
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), guesses, found))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), FOUND)
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "guesses", "found"])
 
         return step
 
     schema = (
-        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, guesses string, "
         "found array<struct<kind:string,start:bigint,end:bigint,value:string,log10_guesses:double>>"
     )
     return map_batches(docs.select(F.col(id_col).cast("long"), text_of(text_col)), make, schema)
