@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
-Base spans are email, ip, card and phone, as stated below. The method adds `iban` (mod-97 confirmed) and `ssn` (area, group
-and serial must be issued ones, and a context word must stand near). Every span has a score from its kind, its checksum and the words within NEAR characters; added spans need
-MIN_SCORE, base spans stay at any score.
+Base spans are email, ip, card and phone, as stated below. The method adds `iban` (mod-97 confirmed) and `ssn` (area, group and
+serial must be issued ones, and a context word must stand near). Every span has a score from its kind, its checksum and the words
+within NEAR characters; added spans need MIN_SCORE, base spans stay at any score. All patterns take linear time on any text: no
+digit run is entered twice, and an email is found from its @, going back no further than the last match or @.
 
 Defined cases: null or empty text has no spans; texts are scanned whole, in code points; an empty table gives an empty result;
 other columns are ignored, whatever their names.
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 
 from netsets.llm.common import map_batches, text_of
 
-# The base patterns, in the order in which kinds are listed, then the added ones.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns, in the order in which kinds are listed, then the added ones. An email is LOCAL, @ and HOST.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
@@ -40,6 +42,7 @@ FOR = {
 }
 AGAINST = ("example", "sample", "test", "version", "isbn", "order", "serial", "part")
 RAISE, LOWER, NEAR, MIN_SCORE = 0.25, 0.15, 40, 0.5
+WORD = re.compile(r"\w+")
 
 
 def luhn(digits: str) -> bool:
@@ -60,10 +63,27 @@ def _digits(s: str) -> str:
 
 
 def _card(s: str) -> bool:
+    if not 16 <= len(s) <= 37:  # at most 19 digits, with 18 marks between them
+        return False
     digits = _digits(s)
     return 16 <= len(digits) <= 19 and luhn(digits)
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """(start, end), leftmost and non-overlapping."""
+    out, low = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        host = HOST.match(text, at + 1) if start < at else None
+        # what an email took can't begin the next one; nor can anything before an @ that no email has
+        low = host.end() if host else at + 1
+        if host:
+            out.append((start, low))
+        at = text.find("@", low)
+    return out
+
+
 def _ip(s: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
 
@@ -77,9 +97,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end), by kind as listed, then start."""
     out = []
     if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += [(0, a, b) for a, b in emails(text)]
     out += [(1, m.start(), m.end()) for m in IP.finditer(text) if _ip(m[0])]
-    out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and _card(m[0])]
+    out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if _card(m[0])]
     if "+" in text:
         out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
     return out
@@ -87,7 +107,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def score(text: str, kind: int, start: int, end: int) -> float:
     name = KINDS[kind]
-    around = set(re.findall(r"\w+", (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()))
+    around = set(WORD.findall((text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()))
     near = any(w.startswith(FOR[name]) for w in around)
     against = any(w in AGAINST for w in around)
     return max(0.0, min(1.0, PRIOR[name] + RAISE * near - LOWER * against))
@@ -118,7 +138,8 @@ FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", values: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (kind, start, end, value, score)."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, n_ssn, scores (of each of the spans, two
+    places, joined likewise), found (kind, start, end, value, score)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,15 +149,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 base, spans, scores = scan(text)
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(BASE)]
                 found = [{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b] if values else None, "score": x} for (k, a, b), x in zip(spans, scores, strict=True)]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), found))
-            kinds = (*[pa.int64()] * BASE, pa.string(), pa.string(), FOUND)
+                more = [sum(k == kind for k, _, _ in spans) for kind in range(BASE, len(KINDS))]
+                listed = ",".join(f"{x:.2f}" for x in scores)
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), *more, listed, found))
+            kinds = (*[pa.int64()] * BASE, pa.string(), pa.string(), *[pa.int64()] * len(KINDS[BASE:]), pa.string(), FOUND)
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "n_ssn", "scores", "found"])
 
         return step
 
     schema = (
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_iban long, n_ssn long, scores string, "
         "found array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"
     )
     return map_batches(docs.select(F.col(id_col).cast("long"), text_of(text_col)), make, schema)

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +107,97 @@ def test_ibans_that_a_match_runs_over():
     one, two = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
     for text, want in ((f"{one} {two} {one}", [one, two, one]), (f"AB12 {one}", [one]), (f"AB12 CD34 {two}, AB12", [two])):
         assert [text[a:b] for k, a, b in scan(text)[1] if k == 4] == want
+
+
+# the patterns as the contract states them
+PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain(t):
+    """The stated patterns as they stand, and the stated checks."""
+    out = []
+    for kind, pattern in enumerate(PLAIN):
+        for m in re.finditer(pattern, t):
+            digits = [int(c) for c in m[0] if c in DIGIT]
+            if kind == 1 and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == 2 and not (16 <= len(digits) <= 19 and sum(sum(divmod(x * (1 + k % 2), 10)) for k, x in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == 3 and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+CLOSE = ["a@b.c", "@", "@a", "a", ".", "b-", "1.2.3.4", "5.6.7.8", "1", "9.", " ", "-", "x@y", "@z.de", "%", "é", "a@b.c@d.e", "+1"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(CLOSE), max_size=14).map("".join))
+def test_same_as_the_plain_patterns(text):
+    assert base_spans(text) == plain(text)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + "@b.c", "a" * 999_999 + " @", "@".join("a" * 1000 for _ in range(1000)), "1." * 500_000, "1 " * 500_000, "+1" + "(" * 1_000_000, "A1" * 500_000, "DE89 " * 40_000], ids=range(9))
+def test_long_texts_take_linear_time(text):
+    began = time.monotonic()
+    scan(text)
+    assert time.monotonic() - began < 5  # well under a second where nothing else runs; quadratic time would be hours
+
+
+def slow_added(t):
+    """Spans of ibans and numbers, found at every place by their definition, with the words around them."""
+    out, at = [], 0
+    word = lambda c: c.isascii() and c.isalnum()
+    while at < len(t):
+        end = 0
+        if not (at and word(t[at - 1])) and re.match("[A-Z]{2}[0-9]{2}", t[at:]):
+            longest, j, n = None, at + 4, 0
+            while n < 30:  # characters, each perhaps after one space; the longest that no word character follows
+                k = j + 1 if t[j : j + 1] == " " else j
+                if not (t[k : k + 1] and t[k].isascii() and (t[k].isdigit() or t[k].isupper())):
+                    break
+                j, n = k + 1, n + 1
+                if n >= 11 and not (t[j : j + 1] and word(t[j])):
+                    longest = j
+            for e in range(longest or 0, at + 14, -1):
+                raw = t[at:e].replace(" ", "")
+                if (e == longest or t[e] == " ") and 15 <= len(raw) <= 34 and mod97(raw):
+                    end = e
+                    break
+        if end:
+            out.append((4, at, end))
+        at = end or at + 1
+    for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t):
+        a, b = m.span()
+        area, group, serial = m[0].split("-")
+        free = (not a or t[a - 1] not in "0123456789-") and (b == len(t) or t[b] not in "0123456789-")
+        if free and area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
+            out.append((5, a, b))
+    return out
+
+
+ADDED = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB29 NWBK 6016 1331 9268 19", "DE88", "AB12", " ", "x", "ssn ", "123-45-6789", "666-12-1234", "iban", "9", "-", "test ", "é", ". " * 30]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ADDED), max_size=9).map("".join))
+def test_added_spans_and_scores(text):
+    base, spans, scores = scan(text)
+    found = {}
+    for kind, a, b in slow_added(text):
+        around = re.findall(r"\w+", text[max(0, a - 40) : a].lower()) + re.findall(r"\w+", text[b : b + 40].lower())
+        near = any(w.startswith(("iban", "account", "bank", "transfer", "konto", "cuenta", "compte") if kind == 4 else ("ssn", "social", "security")) for w in around)
+        against = any(w in ("example", "sample", "test", "version", "isbn", "order", "serial", "part") for w in around)
+        score = min(1.0, (0.8 if kind == 4 else 0.3) + 0.25 * near - 0.15 * against)
+        if score >= 0.5:
+            found[kind, a, b] = score
+    assert spans[: len(base)] == base
+    assert dict(zip(spans[len(base) :], scores[len(base) :], strict=True)) == pytest.approx(found)
+
+
+def test_columns_of_scores(spark):
+    docs = spark.createDataFrame([(1, "my card is 4111 1111 1111 1111, iban GB82WEST12345698765432, ssn 123-45-6789"), (2, None)], "doc_id long, text string")
+    one, two = sorted(personal_data(docs).collect())
+    assert (one.n_card, one.n_iban, one.n_ssn, two.n_iban, two.n_ssn, two.scores) == (1, 1, 1, 0, 0, "")
+    assert [f"{f.score:.2f}" for f in one.found] == one.scores.split(",") and len(one.found) == 3
