@@ -7,8 +7,9 @@ these from a hash sample of SAMPLE_ROWS expected rows: the documented bound. Eac
 learned without its fold, and calibration uses trees fitted without its fold.
 
 Defined cases: null text counts as empty and is scored as such; a null label or id teaches nothing, and a null id is not held
-out; several labels of one id count as their largest; labels of fewer than MIN_EACH documents of either kind give every text the
-share of toxic labels as score (0 without labels); an empty table gives an empty result; other columns pass by untouched.
+out; several labels of one id count as their largest; with labels of fewer than MIN_EACH documents of either kind nothing is learned and
+the score rises with the stated lexicon alone (see `unlearned`); an empty table gives an empty result; other columns pass by untouched.
+Words count at any length, terms and hits in any number.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ MIN_EACH = 10
 #: Beginnings of words that the learned lexicon may hold, besides whole words.
 BEGINNINGS = (4, 5, 6)
 MIN_TOXIC_DOCS = 4
-#: Least lower bound of a term's log odds, its width in standard errors, and the most terms kept.
-MIN_BOUND, ERRORS, MAX_TERMS = 1.2, 1.64, 5_000
+#: Least lower bound of a learned term's log odds, and its width in standard errors. The sample bounds how many terms can pass.
+MIN_BOUND, ERRORS = 1.2, 1.64
 #: Words between a hit and a second-person word that still count as near.
 NEAR = 5
+#: Without labels: words to one insult that make a text as likely toxic as not.
+EVEN = 30
 
 # Insults of the stated lexicon.
 INSULTS = frozenset(
@@ -60,7 +63,8 @@ PUNCTUATION = b".,;:'\"-()"
 SYMBOLS = b"*@$#%&^~_|+="
 #: Bytes that may stand in words, in small letters; the rest become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
-MASKED = re.compile(rb"[A-Za-z]+[*@$!013457#%.-]+[A-Za-z][A-Za-z*@$!013457#%]*")
+#: Letters, marks that may stand for letters, and letters again; entered once for each run of letters, so in linear time.
+MASKED = re.compile(rb"(?<![A-Za-z])[A-Za-z]++[*@$!013457#%.-]++[A-Za-z][A-Za-z*@$!013457#%]*+")
 UNMASK = bytes.maketrans(b"013457@$!", b"oieastasi")
 
 
@@ -69,7 +73,7 @@ def terms_of(words: set[bytes]) -> set[str]:
     for raw in words:
         word = raw.decode("utf-8", "ignore")
         if len(word) > 2:
-            out.add(word[:40])
+            out.add(word)
             out.update(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)
     return out
 
@@ -120,9 +124,9 @@ class Featurizer:
         unmasked = sum(m in self.stated or self.weight(m) > 0 for m in masked)
         rate = lambda chars: (len(text) - len(text.translate(None, chars))) / size
         return [
-            log1p(len(words)), n_stated / n, min(n_stated, 20), n_learned / n, min(n_learned, 20), max(weights.values(), default=0.0), min(total, 60.0),
+            log1p(len(words)), n_stated / n, n_stated, n_learned / n, n_learned, max(weights.values(), default=0.0), total,
             near / n, n_second / n, rate(UPPER), text.count(b"!") / size, text.count(b"?") / size, rate(PUNCTUATION), rate(SYMBOLS),
-            len(masked) / n, min(unmasked, 20), rate(DIGITS),
+            len(masked) / n, unmasked, rate(DIGITS),
         ]
 
 
@@ -131,20 +135,27 @@ class Model:
     learned: dict[str, float]
     trees: Trees | None
     calibration: Isotonic | None
-    prior: float = 0.0
 
     def scorer(self):
         featurize = Featurizer(self.learned)
 
         def score(texts: list[bytes]) -> np.ndarray:
-            if self.trees is None:
-                return np.full(len(texts), self.prior)
             x = np.array([featurize(t) for t in texts], float).reshape(-1, len(FEATURES))
+            if self.trees is None:
+                return unlearned(x)
             return np.clip(self.calibration(self.trees.margin(x)), 0.0, 1.0)
 
         return score
 
 
+def unlearned(x: np.ndarray) -> np.ndarray:
+    """Scores without labels: a half where stated insults, masked ones among them, and second-person words near them are one word in EVEN."""
+    column = {name: x[:, i] for i, name in enumerate(FEATURES)}
+    words = np.maximum(np.expm1(column["log_words"]), 1.0)
+    density = column["stated_density"] + column["near_second"] + column["unmasked_count"] / words
+    return density / (density + 1 / EVEN)
+
+
 def fold_of(id_col: str) -> Column:
     return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % FOLDS
 
@@ -157,7 +168,12 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict
             bound = log((a + 0.5) / (toxic + 1)) - log((b + 0.5) / (clean + 1)) - ERRORS * sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             if bound >= MIN_BOUND:
                 out.append((bound, term))
-    return {term: bound for bound, term in sorted(out, reverse=True)[:MAX_TERMS]}
+    return {term: bound for bound, term in sorted(out, reverse=True)}
+
+
+def _bound(toxic_docs: Column, clean_docs: Column, toxic: int, clean: int) -> Column:
+    a, b = toxic_docs + F.lit(0.5), clean_docs + F.lit(0.5)
+    return F.log(a / F.lit(toxic + 1)) - F.log(b / F.lit(clean + 1)) - F.lit(ERRORS) * F.sqrt(1 / a + 1 / b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -174,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {(r.fold, r.y): r["count"] for r in texts.groupBy("fold", "y").count().collect()}
     total = [sum(n for (_, y), n in sizes.items() if y == k) for k in (0, 1)]
     if min(total) < MIN_EACH:
-        return Model({}, None, None, total[1] / max(1, sum(total)))
+        return Model({}, None, None)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -192,11 +208,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = texts.mapInArrow(count_terms, "term string, fold int, y int, n long").groupBy("term").agg(
         *[F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}") for f in range(1, FOLDS) for y in (0, 1)]
     )
-    in_toxic = sum(F.col(f"n{f}1") for f in range(1, FOLDS))
-    in_clean = sum(F.col(f"n{f}0") for f in range(1, FOLDS))
-    # only terms that could pass somewhere come to the driver, and no more than a fixed number
-    likely = counted.where((in_toxic >= MIN_TOXIC_DOCS) & (in_toxic * total[0] > 2 * in_clean * total[1]))
-    counts = likely.orderBy((in_toxic / (in_clean + 1)).desc(), "term").limit(4 * MAX_TERMS).collect()
+    # only terms that pass in some lexicon come to the driver: the sample's size bounds them, whatever the size of the corpus
+    passes = F.lit(False)
+    for without in range(FOLDS):
+        folds = [f for f in range(1, FOLDS) if f != without]
+        n = [sum(sizes.get((f, y), 0) for f in folds) for y in (0, 1)]
+        docs_with = [sum(F.col(f"n{f}{y}") for f in folds) for y in (0, 1)]
+        bound = _bound(docs_with[1], docs_with[0], n[1], n[0])
+        passes = passes | ((docs_with[1] >= MIN_TOXIC_DOCS) & (bound >= MIN_BOUND - 1e-6))
+    counts = counted.where(passes).collect()
 
     def lexicon(without: int) -> dict[str, float]:
         folds = [f for f in range(1, FOLDS) if f != without]
@@ -219,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for f in np.unique(fold):
         rest = fold != f
         apart[~rest] = fit_trees(x[rest], y[rest]).margin(x[~rest]) if rest.any() else 0.0
-    return Model(lexicon(0), fit_trees(x, y), fit_isotonic(apart, y), total[1] / sum(total))
+    return Model(lexicon(0), fit_trees(x, y), fit_isotonic(apart, y))
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -1,10 +1,15 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from netsets.llm.boosting import fit_isotonic, fit_trees
-from netsets.llm.toxicity import FEATURES, Featurizer, fit, toxicity, with_toxicity
+from netsets.llm.toxicity import FEATURES, MASKED, Featurizer, fit, terms_of, toxicity, with_toxicity
 
 
 def corpus(n=700, seed=0):
@@ -73,3 +78,36 @@ def test_boosting_and_calibration():
     p = 1 / (1 + np.exp(-x[:, 0] * 3))
     iso = fit_isotonic(x[:, 0], (rng.random(2000) < p).astype(float))
     assert (np.diff(iso.value) >= 0).all() and abs(iso(x[:, 0]) - p).mean() < 0.06
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "1", "4@", "!", ".", "-", "*", " ", "é", "d#f", "3"]), max_size=14).map("".join))
+def test_masked_words_as_the_plain_pattern(text):
+    plain = re.compile(rb"[A-Za-z]+[*@$!013457#%.-]+[A-Za-z][A-Za-z*@$!013457#%]*")
+    assert MASKED.findall(text.encode()) == plain.findall(text.encode())
+
+
+@pytest.mark.parametrize("text", [b"a" * 1_000_000, b"a1" * 500_000, b"a" + b"1" * 1_000_000, b"a." * 500_000])
+def test_long_runs_take_linear_time(text):
+    began = time.monotonic()
+    Featurizer({})(text)
+    assert time.monotonic() - began < 3
+
+
+@pytest.mark.parametrize("length", [39, 40, 41, 257, 1000, 100_000])
+def test_learned_words_of_any_length(length):
+    word = b"q" * length
+    term = max(terms_of({word}), key=len)
+    assert term == word.decode()
+    assert Featurizer({term: 1.5}).weight(word) == 1.5 and Featurizer({term: 1.5}).weight(word + b"z") == 0
+
+
+def test_hits_in_any_number():
+    rows = [dict(zip(FEATURES, Featurizer({"zyxx*": 2.0})(b"idiot zyxxab " * n), strict=True)) for n in (10, 100, 1000)]
+    assert [r["stated_count"] for r in rows] == [10, 100, 1000] and [r["learned_sum"] for r in rows] == [20, 200, 2000]
+
+
+def test_without_labels_texts_are_still_told_apart(spark):
+    d, lab = frames(spark, [(1, "you stupid idiot"), (2, "a kind word for all of you"), (3, ""), (4, None), (5, "what an 1d10t, id1ot you")], [(2, 1)])
+    got = {r.doc_id: r.predicted for r in toxicity(d, lab.limit(0)).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
