@@ -8,8 +8,8 @@ than 2**FREE_BITS_LEFT classes. Buckets give a link from each linked class to on
 come from contracting these links round by round, each round written to the shared folder.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; documents with
-the same id are one node; a null id takes part as a document of its own class, and its component_id is the smallest id that is not
-null, or null; an empty table gives an empty result; other columns are ignored, whatever their names.
+the same id are one node; a null id takes part as a document of its own (two of them meet only where their fingerprints do), and its
+component_id is the smallest id of its component that is not null, or null; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsets.llm.bitslice import group_links
@@ -198,37 +198,21 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     signed = cut(fingerprints(docs, id_col, text_col, shingle))
-    null_id = F.lit((1 << 63) - 1)  # stands in for a null id, above every other
-    keyed = signed.select("doc_id", "fp", F.coalesce("doc_id", null_id).alias("own"))
-    # a repeated id with different texts is one node, so its fingerprints are linked
-    classes = cut(keyed.groupBy("fp").agg(F.min("own").alias("rep"), F.max("own").alias("top")))
-    same_id = keyed.where("doc_id is not null").groupBy("own").agg(F.min("fp").alias("f"), F.max("fp").alias("g")).where("f <> g").select("own")
-    if same_id.isEmpty():
-        found = near_links(classes.select("fp", "rep"), radius)
+    named = signed.where("doc_id is not null")
+    # rows without an id leave a class without a name, and an id with different texts joins classes: then fingerprints are the nodes
+    nameless = not signed.where("doc_id is null").isEmpty()
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("g")).where("b <> g").select("doc_id", "b")
+    several = cut(several)
+    classes = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    if nameless or not several.isEmpty():
+        nodes = classes.select("fp", F.col("fp").alias("rep"))
+        by_id = named.join(several, "doc_id").select(F.col("fp").alias("a"), "b").where("a <> b")
+        roots = components(near_links(nodes, radius).unionByName(by_id))
+        of_class = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        smallest = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+        labels = of_class.join(smallest, "root").select("fp", "component_id")
     else:
-        shared = keyed.join(cut(same_id), "own", "left_semi").select("own", "fp").distinct()
-        # representatives must differ between classes: number them by fingerprint instead
-        return _with_repeated_ids(keyed, classes, shared, radius)
-    return _labelled(keyed, classes.select("fp", "rep"), components(found), null_id)
-
-
-def _labelled(keyed: DataFrame, classes: DataFrame, roots: DataFrame, null_id: Column) -> DataFrame:
-    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("root"))
-    return keyed.join(of_class, "fp").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("root") != null_id, F.col("root")).alias("component_id"),
-    )
-
-
-def _with_repeated_ids(keyed: DataFrame, classes: DataFrame, shared: DataFrame, radius: int) -> DataFrame:
-    """As near_duplicates, where an id has several fingerprints: nodes are the fingerprints, and such an id links its own."""
-    nodes = classes.select("fp", F.col("fp").alias("rep"))
-    least = shared.groupBy("own").agg(F.min("fp").alias("b"))
-    by_id = shared.join(least, "own").select(F.col("fp").alias("a"), "b").where("a <> b")
-    roots = components(near_links(nodes, radius).unionByName(by_id))
-    of_class = cut(nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("root")))
-    least_id = of_class.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("least"))
-    null_id = F.lit((1 << 63) - 1)
-    named = of_class.join(least_id, "root").select("fp", F.col("fp").alias("rep"), "least")
-    return _labelled(keyed, named.select("fp", "rep"), named.select(F.col("rep").alias("node"), F.col("least").alias("root")), null_id)
+        nodes = classes.select("fp", F.col("least").alias("rep"))
+        roots = components(near_links(nodes, radius))
+        labels = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return signed.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

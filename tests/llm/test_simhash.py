@@ -96,3 +96,26 @@ def test_null_and_repeated_ids_and_empty(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted([("4", 2), ("4", 2), ("2", 2), ("7", 2), ("7", 2), ("None", None), ("None", None)], key=str)
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_null_ids_do_not_join_what_they_stand_beside(spark):
+    """Two rows without an id, each near another document: the documents stay apart, as in a search over all pairs."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    near = []
+    while len(near) < 3:
+        text = " ".join(rng.choices(words, k=900))
+        other = text + " " + rng.choice(words)
+        if 0 < (slow_fingerprint(text) ^ slow_fingerprint(other)).bit_count() <= 2:
+            near.append((text, other))
+    (a, near_a), (b, near_b), (c, near_c) = near
+    rows = [(5, a), (None, near_a), (9, b), (None, near_b), (None, c), (None, near_c), (12, "far away from all of them")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    fps = [slow_fingerprint(t) for _, t in rows]
+    of = slow_components(fps)
+    want = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [d for j, (d, _) in enumerate(rows) if of[j] == of[i] and d is not None]
+        want.append((str(doc_id), f"{fps[i]:016x}", min(ids, default=None)))
+    assert sorted(((str(r.doc_id), r.fingerprint, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {5: 5, 9: 9, 12: 12}
