@@ -3,8 +3,8 @@
 Every row gets the order key (leading bytes, digest, text, id). A bounded sample of keys gives splitters; a row's
 bucket is found by binary search among them, one exchange by bucket and an external sort put equal texts side by
 side, and each row is compared in full with its neighbour. Splitters hold the id too, so a text that fills a third
-of the table is dealt over many buckets; the runs that touch a bucket's edge (two per bucket) are chained afterwards
-by comparing the edge texts in full.
+of the table is dealt over many buckets; the runs that touch a bucket's edge (two per bucket) are chained afterwards:
+a join of each bucket's last text with the first of the next compares them in full, spread over all tasks.
 
 Defined cases: null text counts as empty (after `normalise`); equal texts form one group whatever their ids; a null
 id sorts below every other, so it stays only where all ids of its group are null; of repeated (id, text) rows one
@@ -114,6 +114,7 @@ def exact_duplicates(
             (F.lead("at").over(in_run).isNull() | ~F.lead("id").over(in_run).eqNullSafe(F.col("id"))).alias("single"),
         )
     )
+    # at most two rows a bucket, and the number of buckets is fixed by the settings
     merged = runs.join(F.broadcast(_chained(runs, best)), ["b", "run"], "left")
     keep_id = F.when(F.col("chain_n").isNull(), F.col("best")).otherwise(F.col("chain_best"))
     return merged.select(
@@ -126,19 +127,18 @@ def exact_duplicates(
 
 
 def _chained(runs: DataFrame, best: Callable[[str], Column]) -> DataFrame:
-    """For the edge runs of every bucket, size and kept id over the runs that continue across buckets. Two rows a bucket."""
+    """For the edge runs of every bucket, size and kept id over the runs that continue across buckets: at most two thin rows a bucket.
+
+    Every bucket but the first holds the row that its splitter was drawn from, so a run goes on in the very next bucket or ends. Where the
+    last text of a bucket and the first of the next have one digest they are compared in full; runs of one digest are then one text.
+    """
     edges = runs.where("first_t is not null or last_t is not null")
-    per_bucket = edges.groupBy("b").agg(
-        F.max("first_t").alias("first_t"),
-        F.max("last_t").alias("last_t"),
-        F.min(F.struct("run", "n", "best")).alias("head"),
-        F.max(F.struct("run", "n", "best")).alias("tail"),
-    )
-    in_order = Window.orderBy("b")
-    joined = per_bucket.withColumn("joins", F.coalesce(F.lag("last_t").over(in_order) == F.col("first_t"), F.lit(False)))
-    head = joined.select("b", "head.*", F.col("joins"))
-    tail = joined.where("tail.run > head.run").select("b", "tail.*", F.lit(False).alias("joins"))
-    chain = F.sum((~F.col("joins")).cast("int")).over(Window.orderBy("b", "run"))
-    pieces = head.unionByName(tail).withColumn("chain", chain)
-    whole = Window.partitionBy("chain")
-    return pieces.select("b", "run", F.sum("n").over(whole).alias("chain_n"), best("best").over(whole).alias("chain_best"))
+    heads = edges.where("first_t is not null").select(F.col("b"), "sha", F.col("first_t").alias("t"))
+    tails = edges.where("last_t is not null").select((F.col("b") + 1).alias("b"), "sha", F.col("last_t").alias("u"))
+    different = F.raise_error(F.lit("two different texts have one SHA-256 digest"))
+    met = heads.join(tails, ["b", "sha"]).select("sha", F.when(F.col("t") == F.col("u"), F.lit(True)).otherwise(different).alias("same"))
+    goes_on = met.where("same").select("sha").distinct()
+    pieces = edges.groupBy("b", "run").agg(F.first("sha").alias("sha"), F.first("n").alias("n"), F.first("best").alias("best"))
+    pieces = cut(pieces.join(goes_on, "sha", "left_semi"))
+    whole = pieces.groupBy("sha").agg(F.sum("n").alias("chain_n"), best("best").alias("chain_best"))
+    return pieces.join(whole, "sha").select("b", "run", "chain_n", "chain_best")
