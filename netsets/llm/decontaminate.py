@@ -1,9 +1,11 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 A pattern is a window of `window` consecutive item words (a shorter item is one pattern). Patterns of one length form a
-table: the shift of a block of two words is how far the search may move when a window ends in it, zero for blocks that end a
-pattern; these lead to a bucket of patterns, split by first word, which are compared word by word. Text is read once per block of
-ITEM_BLOCK_BYTES of items, each broadcast at no more than that, so the benchmark may be of any size.
+table: a block is two words, and the shift of its checksum says how far the search may move when a window ends in such a block
+(the least of all blocks with that checksum). Zero leads to the bucket of patterns with this last block and the same first word,
+which are compared word by word. Tables are packed arrays over the items' text: some 40 bytes a pattern. They are compiled once in a
+worker process, which holds those of one block of items at a time. Text is read once per block of ITEM_BLOCK_BYTES of items, each
+broadcast at no more than that, and what is found is written to the shared folder between blocks: the benchmark may be of any size.
 
 Defined cases: null or empty text has no words and is clean; an item without words is never found; an item without an id
 marks words but is not counted or listed; ids that repeat count once; an empty table on either side gives the defined rows with
@@ -13,14 +15,18 @@ nothing found; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsets.llm.common import map_batches, small_batches, text_of
+from netsets.llm.common import cut, map_batches, small_batches, text_of
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 16 << 20
@@ -33,53 +39,134 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts as one array; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 class WuManber:
-    """Patterns of one length in words; find() gives (start, item numbers) of every occurrence, overlapping ones too."""
+    """Patterns of one length in words; find() gives (start, item number) of every occurrence, overlapping ones too."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[int]], length: int):
+    def __init__(self, length: int, texts: list[bytes], numbers: list[int]):
+        """texts: items as words joined by single spaces, `length` of them at least; numbers: what each item is called."""
         self.length = length
         self.block = min(2, length)
         self.furthest = length - self.block + 1
-        # last word of a block -> word before it -> shift; blocks of one word have None before them
-        self.shift: dict[bytes, dict[bytes | None, int]] = {}
-        self.buckets: dict[tuple[bytes | None, bytes], dict[bytes, list[tuple[list[bytes], set[int]]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block - 1, length):
-                before = pattern[end - 1] if self.block == 2 else None
-                row = self.shift.setdefault(pattern[end], {})
-                row[before] = min(row.get(before, self.furthest), length - 1 - end)
-            last = (pattern[-2] if self.block == 2 else None, pattern[-1])
-            self.buckets.setdefault(last, {}).setdefault(pattern[0], []).append((list(pattern), items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
-        length, furthest, shift, two = self.length, self.furthest, self.shift, self.block == 2
+        flat, begins, ends, first, last, whole, owner = [], [], [], [], [], [], []
+        place = 0
+        kind = np.uint32 if sum(map(len, texts)) < 1 << 32 else np.uint64
+        blocks: list[np.ndarray] = []
+        for text, number in zip(texts, numbers, strict=True):
+            words = text.split()
+            n = len(words) - length + 1
+            sums = [crc32(w) for w in words]
+            pairs = sums if self.block == 1 else [0, *(crc32(w, c) for w, c in zip(words[1:], sums, strict=False))]
+            pairs = np.array(pairs, np.uint32)
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            end = np.cumsum(size + 1) - 1
+            begin = end - size
+            spans = zip(begin[:n].tolist(), end[length - 1 :].tolist(), strict=True)
+            whole.append(np.fromiter((xxhash.xxh64_intdigest(text[a:b]) for a, b in spans), np.uint64, n))
+            begins.append((begin[:n] + place).astype(kind))
+            ends.append((end[length - 1 :] + place).astype(kind))
+            first.append(np.array(sums[:n], np.uint32))
+            last.append(pairs[length - 1 :])
+            owner.append(np.full(n, number, np.int32))
+            blocks.append(pairs)
+            flat.append(text)
+            place += len(text)
+        self.flat = b"".join(flat)
+        flat.clear()
+        # the least shift of each checksum, where blocks end `back` words before a window's last one
+        self.mask = (1 << max(8, (2 * sum(map(len, blocks))).bit_length())) - 1
+        wide = self.furthest > 255
+        self.shift = [self.furthest] * (self.mask + 1) if wide else bytearray([self.furthest]) * (self.mask + 1)
+        shift = np.array(self.shift, np.int64) if wide else np.frombuffer(self.shift, np.uint8)
+        for pairs in blocks:
+            n = len(pairs)
+            at = (pairs & np.uint32(self.mask)).astype(np.int64)
+            for back in range(self.furthest - 1, -1, -1):
+                # a block at i ends `back` words before some window's end if that window lies in the item
+                part = at[max(self.block - 1, length - 1 - back) : n - back]
+                shift[part] = np.minimum(shift[part], back)
+        self.shift = shift.tolist() if wide else self.shift
+        blocks.clear()
+        # of equal windows of an item one is enough
+        key = _joined(last).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= _joined(first)
+        owner, whole = _joined(owner), _joined(whole)
+        order = np.lexsort((owner, whole, key)).astype(np.uint32)
+        kept = np.zeros(len(order), bool)
+        for column in (key, whole, owner):
+            column = column[order]
+            kept[1:] |= column[1:] != column[:-1]
+        kept[:1] = True
+        order = order[kept]
+        del whole, kept, column
+        self.key, self.owner = key[order], owner[order]
+        del key, owner
+        self.begin = _joined(begins)[order]
+        self.end = _joined(ends)[order]
+        # which (last block, first word) exist, by a short checksum, so that most places are left without a search
+        self.probe_mask = (1 << max(8, (4 * len(self.key)).bit_length())) - 1
+        self.probe = bytearray(self.probe_mask + 1)
+        np.frombuffer(self.probe, np.uint8)[((self.key >> np.uint64(32)) ^ self.key) & np.uint64(self.probe_mask)] = 1
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        length, shift, mask, probe, probe_mask = self.length, self.shift, self.mask, self.probe, self.probe_mask
+        two = self.block == 2
         at, n = length - 1, len(words)
         while at < n:
-            row = shift.get(words[at])
-            if row is None:
-                at += furthest
-                continue
-            before = words[at - 1] if two else None
-            step = row.get(before, furthest)
+            last = crc32(words[at], crc32(words[at - 1])) if two else crc32(words[at])
+            step = shift[last & mask]
             if step:
                 at += step
                 continue
             start = at - length + 1
-            for pattern, items in self.buckets[before, words[at]].get(words[start], ()):
-                if words[start : at + 1] == pattern:
-                    yield start, items
+            first = crc32(words[start])
+            if probe[(last ^ first) & probe_mask]:
+                key = np.uint64(last << 32 | first)
+                low = int(np.searchsorted(self.key, key, "left"))
+                if low < len(self.key) and self.key[low] == key:
+                    window = b" ".join(words[start : at + 1])
+                    for i in range(low, int(np.searchsorted(self.key, key, "right"))):
+                        if self.flat[self.begin[i] : self.end[i]] == window:
+                            yield start, int(self.owner[i])
             at += 1
 
 
-def compile_items(items: Iterable[tuple[int | None, bytes]], window: int) -> tuple[list[int | None], list[WuManber]]:
-    ids, by_length = [], {}
-    for number, (item_id, text) in enumerate(items):
-        ids.append(item_id)
-        words = words_of(text)
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            by_length.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set()).add(number)
-    return ids, [WuManber(patterns, n) for n, patterns in sorted(by_length.items())]
+class Compiled:
+    """The tables of one block of items, a table for each length of pattern, and the items' ids."""
+
+    #: key of the block that this process holds -> its tables
+    held: dict[str, Compiled] = {}
+
+    def __init__(self, items: Iterable[tuple[int | None, bytes]], window: int):
+        ids, texts, numbers = [], {}, {}
+        for number, (item_id, text) in enumerate(items):
+            ids.append(item_id)
+            words = words_of(text)
+            if words:
+                n = min(window, len(words))
+                texts.setdefault(n, []).append(b" ".join(words))
+                numbers.setdefault(n, []).append(number)
+        self.ids = pa.array(ids, pa.int64())
+        self.tables = [WuManber(n, texts.pop(n), numbers.pop(n)) for n in sorted(texts)]
+
+    def id_of(self, number: int) -> int | None:
+        return self.ids[number].as_py()
+
+    @classmethod
+    def of(cls, key: str, shared, window: int) -> Compiled:
+        """Compiled once in a process; tables of another block are let go first."""
+        if key not in cls.held:
+            cls.held.clear()
+            cls.held[key] = cls(shared.value, window)
+        return cls.held[key]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -127,13 +214,17 @@ def benchmark_hits(
     while block is not None:
         following = next(blocks, None)
         state = _search(state, spark.sparkContext.broadcast(block), window, last=following is None)
+        if following is not None:
+            state = cut(state)  # a worker then holds the tables of one block, not of all
         block = following
     return state
 
 
 def _search(state: DataFrame, shared, window: int, last: bool) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def make():
-        ids, tables = compile_items(shared.value, window)
+        compiled = Compiled.of(name, shared, window)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -141,10 +232,12 @@ def _search(state: DataFrame, shared, window: int, last: bool) -> DataFrame:
                 words = words_of(text.as_py())
                 found = [(x["start"], x["end"]) for x in spans.as_py() or ()]
                 known = set(items.as_py() or ())
-                for table in tables:
-                    for start, numbers in table.find(words):
+                numbers = set()
+                for table in compiled.tables:
+                    for start, number in table.find(words):
                         found.append((start, start + table.length))
-                        known.update(ids[i] for i in numbers if ids[i] is not None)
+                        numbers.add(number)
+                known.update(i for i in map(compiled.id_of, numbers) if i is not None)
                 rows.append((len(words), _merged(found), sorted(known, key=str)))
             spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], SPANS)
             items = pa.array([r[2] for r in rows], ITEMS)
@@ -178,16 +271,24 @@ def _search(state: DataFrame, shared, window: int, last: bool) -> DataFrame:
 def with_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, flag_col: str = "contaminated") -> DataFrame:
     """docs with a flag whether any window occurs; all other columns untouched, and nothing is shuffled."""
     small_batches(docs.sparkSession)
-    found = F.lit(False)
-    for block in _blocks(benchmark, item_id_col, item_text_col):
-        found = found | _occurs(docs.sparkSession.sparkContext.broadcast(block), window)(text_of(text_col))
-    return docs.withColumn(flag_col, found)
+    blocks = _blocks(benchmark, item_id_col, item_text_col)
+    block = next(blocks)
+    docs = docs.withColumn(flag_col, F.lit(False))
+    while block is not None:
+        following = next(blocks, None)
+        docs = docs.withColumn(flag_col, F.col(flag_col) | _occurs(docs.sparkSession.sparkContext.broadcast(block), window)(text_of(text_col)))
+        if following is not None:
+            docs = cut(docs)
+        block = following
+    return docs
 
 
 def _occurs(shared, window: int):
+    name = uuid.uuid4().hex
+
     @F.pandas_udf("boolean")
     def occurs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = compile_items(shared.value, window)[1]
+        tables = Compiled.of(name, shared, window).tables
         for texts in batches:
             out = []
             for text in texts:
