@@ -75,10 +75,20 @@ ORACLES["op9_mix_sources"] = r"""
         SELECT source, source_size,
                CASE WHEN filled THEN (2 * source_size)::DOUBLE ELSE weight * (left_words / left_weight) END AS target
         FROM rounds WHERE round = (SELECT max(round) FROM rounds)),
+    -- an own weight is the binary length of the size; in the order of falling weight the stopped ones come first
+    step AS (
+        SELECT source, own, sum(size)::BIGINT AS words FROM (SELECT source, size, len(bin(size)) AS own FROM sized WHERE size > 0) GROUP BY source, own),
+    level AS (
+        SELECT source, own,
+               (target - 2 * coalesce(sum(words) OVER above, 0)) / (sum(words * own) OVER (PARTITION BY source) - coalesce(sum(words * own) OVER above, 0)) AS rate
+        FROM step JOIN targets USING (source)
+        WINDOW above AS (PARTITION BY source ORDER BY own DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    rates AS (
+        SELECT source, coalesce(arg_max(rate, own) FILTER (rate * own < 2), max(rate)) AS rate FROM level GROUP BY source),
     ratios AS (
         SELECT doc_id, source, size, u, source_size, target,
-               least(CASE WHEN source_size > 0 THEN 1.0::DOUBLE * target / source_size ELSE 0 END, 2.0::DOUBLE) AS copies
-        FROM sized JOIN targets USING (source)),
+               CASE WHEN size > 0 THEN least(rate * len(bin(size)), 2.0::DOUBLE) ELSE 0 END AS copies
+        FROM sized JOIN targets USING (source) LEFT JOIN rates USING (source)),
     ranked AS (
         SELECT *, floor(copies) AS whole, copies - floor(copies) AS pi,
                (u / (1 - u)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) AS rank
