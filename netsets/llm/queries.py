@@ -11,7 +11,7 @@ import corpus_pipeline
 from netsets.llm.common import read
 from netsets.llm.decontaminate import benchmark_hits
 from netsets.llm.exact_dedup import exact_duplicates
-from netsets.llm.license_scan import RULES, SENTENCES, license_scan
+from netsets.llm.license_scan import BLANK_LINE, GAP, LINE_END, LINES, NOTICE, OWN_MARKS, PROPRIETARY, RULES, SENTENCE_END, SENTENCES, license_scan, rule_pattern
 from netsets.llm.mixing import mix
 from netsets.llm.pii import personal_data
 from netsets.llm.secrets import secrets
@@ -204,31 +204,45 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_oracle() -> str:
-    """The rules as stated, each claimed place becoming a bar, one after the other."""
-    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in SENTENCES.items()) + "}"
-    steps, left = [], "CASE WHEN seq = '' THEN '' ELSE seq || ' ' END"
-    for i, (_, sequence) in enumerate(RULES):
-        between = "" if len(sequence) == 1 else "(?:[A-Z][0-9]+ ){0,1}?"
-        pattern = between.join(f"{x} " for x in sequence)
-        before = "ids" if not i else f"s{i - 1}"
-        steps.append(
-            f"s{i} AS (SELECT *, len(regexp_extract_all(l{i}, '{pattern}')) AS n{i}, regexp_replace(l{i}, '{pattern}', '| ', 'g') AS l{i + 1} "
-            + (f"FROM (SELECT *, {left} AS l0 FROM {before}))" if not i else f"FROM {before})")
-        )
-    named = ", ".join(f"CASE WHEN n{i} > 0 THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    """Candidates (each end of a sentence that begins with a line, and each line) joined to the known sentences; the rules one after the other."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in SENTENCES.items())
+    rules = ", ".join(f"({k}, {quoted(name)}, {quoted(rule_pattern(sequence, GAP))})" for k, (name, sequence) in enumerate(RULES, 1))
+    normal = rf"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[^a-z0-9\x01]+', ' ', 'g'), '\x01', '.', 'g')), '{NOTICE}', 'under ')"""
     return rf"""
-    WITH cut AS (
-        SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;]+(\s|$)', chr(10) || '\1', 'g'), '[\n\r]+') AS sentences FROM documents),
-    ids AS (
-        SELECT doc_id, array_to_string(list_filter(list_transform(sentences, lambda s: {known}[
-            trim(regexp_replace(regexp_replace(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                 '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[^a-z0-9\x01]+', ' ', 'g'), '\x01', '.', 'g'))]), lambda i: i IS NOT NULL), ' ') AS seq
-        FROM cut),
-    {", ".join(steps)}
-    SELECT doc_id, seq AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{named}], lambda x: x IS NOT NULL))), ',') AS licenses,
-           ({" + ".join(f"n{i}" for i in range(len(RULES)))})::BIGINT AS n_matches,
-           len(regexp_extract_all(l{len(RULES)}, '[A-Z][0-9]+'))::BIGINT AS n_unclaimed
-    FROM s{len(RULES) - 1}
+    WITH RECURSIVE known(sentence, id) AS (VALUES {known}),
+    rules(k, name, pattern) AS (VALUES {rules}),
+    plain AS (
+        SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{OWN_MARKS}', ' ', 'g'), '{LINE_END}', chr(10), 'g') AS t FROM documents),
+    ended AS (
+        SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '{BLANK_LINE}', chr(2), 'g'), '{SENTENCE_END}', chr(2) || '\1', 'g'), chr(2)) AS sentences FROM plain),
+    sentence AS (SELECT doc_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS place FROM ended),
+    lined AS (SELECT doc_id, place, list_filter(string_split(s, chr(10)), lambda l: regexp_matches(l, '[A-Za-z0-9]')) AS lines FROM sentence),
+    candidate AS (
+        SELECT doc_id, place, i, TRUE AS whole, array_to_string(lines[i:], ' ') AS raw
+        FROM (SELECT *, unnest(range(greatest(len(lines) - {LINES - 1}, 1), len(lines) + 1)) AS i FROM lined)
+        UNION ALL
+        SELECT doc_id, place, i, FALSE, lines[i] FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM lined)),
+    met AS (
+        SELECT doc_id, place, i, whole, id FROM (SELECT doc_id, place, i, whole, {normal} AS sentence FROM candidate) JOIN known USING (sentence)),
+    ends AS (SELECT doc_id, place, min(i) AS first_i FROM met WHERE whole GROUP BY doc_id, place),
+    counted AS (
+        SELECT doc_id, place, i, id FROM met LEFT JOIN ends USING (doc_id, place)
+        WHERE (whole AND i = first_i) OR (NOT whole AND i < coalesce(first_i, i + 1))),
+    seq AS (SELECT doc_id, string_agg(id, ' ' ORDER BY place, i) AS seq FROM counted GROUP BY doc_id),
+    run AS (
+        SELECT doc_id, 0 AS k, seq || ' ' AS left_over, CAST([] AS VARCHAR[]) AS names, 0::BIGINT AS n FROM seq
+        UNION ALL
+        SELECT doc_id, rules.k, regexp_replace(left_over, pattern, '| ', 'g'),
+               CASE WHEN regexp_matches(left_over, pattern) THEN list_append(names, name) ELSE names END, n + len(regexp_extract_all(left_over, pattern))
+        FROM run JOIN rules ON rules.k = run.k + 1),
+    done AS (
+        SELECT doc_id, n, left_over, list_sort(list_distinct(names)) AS names FROM run WHERE k = {len(RULES)})
+    SELECT doc_id, coalesce(seq, '') AS sentence_ids,
+           coalesce(array_to_string(CASE WHEN len(names) > 1 THEN list_filter(names, lambda x: x <> '{PROPRIETARY}') ELSE names END, ','), '') AS licenses,
+           coalesce(n, 0)::BIGINT AS n_matches, coalesce(len(regexp_extract_all(left_over, '[A-Z]+[0-9]+')), 0)::BIGINT AS n_unclaimed
+    FROM documents LEFT JOIN seq USING (doc_id) LEFT JOIN done USING (doc_id)
     """
 
 
