@@ -286,9 +286,9 @@ def test_every_sentence_has_a_marker():
     assert not [s for s in SENTENCES if not re.search(MARKERS, s)]
 
 
-@pytest.mark.parametrize("gap", ["\t", " ", " - ", "  "])
+@pytest.mark.parametrize("gap", ["\t", "\u00a0", " - ", "  "])
 def test_odd_white_space(spark, gap):
-    texts = ["All  rights reserved", "All\trights reserved.", "All rights reserved", "ALL-RIGHTS-RESERVED"]
+    texts = ["All  rights reserved", "All\trights reserved.", "All\u00a0rights reserved", "ALL-RIGHTS-RESERVED"]
     texts += [re.sub(" ", gap, s) for s in SENTENCES]
     got = by_spark(spark, texts)
     for i, t in enumerate(texts):
