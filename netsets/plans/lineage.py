@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session has none."""
+    """spark.checkpoint.dir. Only a local session, whose tasks share the driver's machine, may do without and gets a temporary folder."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="netsets-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not sc.getCheckpointDir():
