@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared folder from now on; lost executors lose nothing of them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, read from the shared folder from now on; lost executors lose nothing of them, and later plans begin here.
+
+    A checkpoint keeps the ordering and the constraints of the plan that it replaces, and rounds of joins and renamed columns multiply
+    both until planning takes minutes. So its rows become a relation that knows their types alone.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint(eager=True)
+    rows = held._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, held._jdf.schema(), False), spark)
