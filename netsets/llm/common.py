@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netsets.plans.lineage import cut, shared_dir
 
-__all__ = ["WORD", "cut", "fresh_path", "map_batches", "read", "shared_dir", "small_batches", "text_of"]
+__all__ = ["WORD", "cut", "fresh_path", "give_back", "map_batches", "read", "returning", "shared_dir", "small_batches", "text_of", "word_count"]
 
 #: A word as the contracts count it: code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +26,32 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def word_count(text: Column) -> Column:
+    """Number of WORDs, without a string for each of them: white space becomes single spaces, one before every word."""
+    spaced = F.rtrim(F.regexp_replace(F.concat(F.lit(" "), text), r"[\x20\x09-\x0D]+", " "))
+    return (F.length(spaced) - F.length(F.translate(spaced, " ", ""))).cast("long")
+
+
+def give_back() -> None:
+    """Memory that the process holds but does not use goes back to the system: idle workers stay beside the executor's next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and give back memory when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 #: Rows that Spark hands to Python at once: texts are long, and every batch is held several times over.
 ROWS_PER_BATCH = 1000
 
@@ -47,7 +74,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 yield out
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Near copies by word shingles: components of all pairs of texts whose shingle sets have a Jaccard similarity of at least 4/5.
 
-Exact: no pair is left to chance. Texts with equal sets are one node. In any one order of all shingles, two sets that are similar
-enough share one of their first |x| - ceil(4/5 |x|) + 1 shingles, so nodes meet in a bucket for each of these; lengths and places
-rule most pairs out, and the others are compared set by set. The order is by hash, with shingles common in a sample last: the
-sample changes the cost, never the pairs. Large buckets compare all members with a few roots a round, and go on only while they hold
-more than one component, so a large group of near copies costs a row a member.
+SimHash finds most of them: fingerprints of the shingles, linked within RADIUS by bit-sliced comparison, each link confirmed by the exact
+similarity. Fingerprints of two texts of similarity 4/5 differ in ten bits of 64 on average and in up to twenty, further than
+any radius that can be searched whole, so what lies beyond is found by shared shingles, and no pair is left to chance: in any one order of
+all shingles, two sets that are similar enough share one of their first |x| - ceil(4/5 |x|) + 1 shingles, so texts meet in a bucket for
+each of these. Texts that are linked already need no comparison; lengths and places rule most others out, and the rest are compared set
+by set. The order is by hash, with shingles common in a sample last: the sample changes the cost, never the pairs. Large buckets compare
+all members with a few roots a round, and go on only while they hold more than one component, so a large group of near copies costs
+a row a member. Texts with equal sets are one node throughout.
 
 Defined cases: words are as in `simhash`; a text shorter than a shingle is one shingle; texts without words are equal; null text counts
 as empty; rows with the same id are one node; a null id takes part, and its component_id is the smallest id that is not null, or
@@ -16,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,34 +27,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsets.llm.common import cut, map_batches, small_batches, text_of
-from netsets.llm.simhash import COMPARE_AT_ONCE, LOWER, SEED, components
+from netsets.llm.common import cut, map_batches, returning, small_batches, text_of
+from netsets.llm.simhash import COMPARE_AT_ONCE, LOWER, SEED, components, majority, near_links
 
 SHINGLE = 5
 #: Least similarity: PART / WHOLE.
 PART, WHOLE = 4, 5
+#: Differing bits up to which fingerprints are linked before anything else.
+RADIUS = 3
 #: Buckets up to this size compare all pairs at once; larger ones begin with one root.
 SMALL = 8
 #: Rows sampled for common shingles, the rows of them that make one common, and how many are kept. Cost only, never results.
 SAMPLE_ROWS, COMMON_FROM, MOST_COMMON = 4000, 3, 10_000
+#: Thin rows (two numbers, or a number and a digest) that are sent to every task rather than shuffled, after counting them.
+BROADCAST_ROWS = 200_000
+#: Texts that one task compares with the same text.
+SHARE = 2000
+#: Odd multipliers that mix the words of a shingle, and its hash.
+MIX, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; never empty."""
+def hashes_of(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the text's shingles, repeats included; one of the whole where it has no more words than a shingle."""
     words = text.translate(LOWER).split()
-    flat = b" ".join(words)
     n = len(words) - shingle + 1
     if n < 2:
-        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    begins = ends - lengths
-    digest = xxhash.xxh64_intdigest
-    made = (digest(flat[a:b], SEED) for a, b in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True))
-    return np.unique(np.fromiter(made, np.uint64, n))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    each = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), words), np.uint64, len(words))
+    out = each[:n].copy()
+    for i in range(1, shingle):
+        out *= MIX
+        out ^= out >> np.uint64(29)
+        out += each[i : i + n]
+    out ^= out >> np.uint64(31)
+    out *= FINISH
+    return out ^ out >> np.uint64(30)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; never empty."""
+    return np.unique(hashes_of(text, shingle))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if WHOLE * min(len(x), len(y)) < PART * max(len(x), len(y)):
+        return False
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return (PART + WHOLE) * shared >= PART * (len(x) + len(y))
 
@@ -75,37 +95,42 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
-    """doc_id, same (digest of the set), digest (of the text), size, first (the shingles in which it meets others) for every row."""
+    """doc_id, same (digest of the set), digest (of the text), size, fp (fingerprint), first (the shingles in which it meets others) for every row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            same, size, first = [], [], []
+            same, size, fp, first = [], [], [], []
             for x in batch.column(1).cast(pa.binary()):
-                hashes = shingles(x.as_py(), shingle)
+                every = hashes_of(x.as_py(), shingle)
+                hashes = np.unique(every)
                 n = len(hashes)
                 at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
                 late = common[at] == hashes if len(common) else np.zeros(n, bool)
                 same.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 size.append(n)
+                fp.append(majority(hashes))  # of the set, so that texts with equal sets have one fingerprint
                 first.append(np.concatenate([hashes[~late], hashes[late]])[: n + PART * -n // WHOLE + 1].view(np.int64))
-            cols = [batch.column(0), pa.array(same, pa.binary()), batch.column(2), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "same", "digest", "size", "first"])
+            fps = np.array(fp, np.uint64).view(np.int64)
+            cols = [batch.column(0), pa.array(same, pa.binary()), batch.column(2), pa.array(size, pa.int64()), pa.array(fps), pa.array(first, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "same", "digest", "size", "fp", "first"])
 
         return step
 
-    return map_batches(docs.select("doc_id", "text", "digest"), make, "doc_id long, same binary, digest string, size long, first array<long>")
+    return map_batches(docs.select("doc_id", "text", "digest"), make, "doc_id long, same binary, digest binary, size long, fp long, first array<long>")
 
 
 def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """rows (h, node, size, place, root) -> pairs (a, b) to compare, with h null, and the rows of buckets that need another round."""
+    """rows (h, node, at, root) -> pairs (other, node) to compare, with h null, and the rows of buckets that need another round.
+
+    `at` holds the set's size and the shingle's place in it, 32 bits each."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("h", "node", "size", "place", "root").repartition(parts, "h").sortWithinPartitions("h", "node")
+    dealt = rows.select("h", "node", "at", "root").repartition(parts, "h").sortWithinPartitions("h", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, n = None, [], 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
-                waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+                waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
                 n += batch.num_rows
             if batch is not None and n < COMPARE_AT_ONCE:
                 continue
@@ -120,9 +145,10 @@ def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
             yield from buckets(held)
 
     def buckets(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, node, size, place, root = cols
+        h, node, packed, root = cols
         if len(h) < 2:
             return
+        size, place = packed >> 32, packed & 0xFFFFFFFF
         new = np.r_[True, h[1:] != h[:-1]]
         group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
         many = np.diff(np.r_[begin, len(h)])
@@ -144,70 +170,108 @@ def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
         # of the large buckets, root 0 is done after the first round
         again = open_rows[large[open_rows] & (many[group[open_rows]] > (high if low else 1))]
         if len(again):
-            yield made(h[again], node[again], None, size[again], place[again])
+            yield made(h[again], node[again], None, packed[again])
+
+    def made(h, a, b, packed=None) -> pa.RecordBatch:
+        cols = [pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (h, a, b, packed)]
+        return pa.RecordBatch.from_arrays(cols, names=["h", "node", "other", "at"])
+
+    return dealt.mapInArrow(returning(run), "h long, node long, other long, at long")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to every task if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-    def made(h, a, b, size=None, place=None) -> pa.RecordBatch:
-        cols = [pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (h, a, b, size, place)]
-        return pa.RecordBatch.from_arrays(cols, names=["h", "node", "other", "size", "place"])
 
-    return dealt.mapInArrow(run, "h long, node long, other long, size long, place long")
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """node, text of the nodes in wanted(node). A node's text is that of the one row with its digest and id; only if rows are
+    `repeated` is there more than one of it."""
+    wanted = cut(nodes.select("node", F.col("digest").alias("d"), F.col("own").alias("o")).join(wanted.distinct(), "node"))
+    found = docs.join(_small(wanted, wanted.count()), F.expr("digest = d and doc_id <=> o")).select("node", "text")
+    return found.groupBy("node").agg(F.first("text").alias("text")) if repeated else found
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough."""
+    """The pairs (a, b) of nodes that are similar enough. Each a is read once before the texts it is compared with, at most some SHARE in
+    a task."""
+    pairs = cut(pairs.where("a <> b").select("a", "b").distinct())
+    rows = pairs.count()
+    many = cut(pairs.groupBy("a").count().where(F.col("count") > SHARE).select("a", F.ceil(F.col("count") / SHARE).alias("shares")))
+    # fewer than rows / SHARE of them
+    dealt = pairs.join(_small(many, many.count()), "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))))
+    dealt = cut(dealt.select("a", "b", "share"))
+    held = texts.select(F.col("node").alias("n"), "text")
+    others = held.join(_small(dealt, rows), F.col("n") == F.col("b")).select("a", "share", "b", "text")
+    own = held.join(_small(dealt.select("a", "share").distinct(), rows), F.col("n") == F.col("a")).select("a", "share", F.lit(None).cast("long").alias("b"), "text")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = own.unionByName(others).repartition(parts, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def make():
-        last = [None, None]
+        last = [None]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
-            b_texts, a_texts = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            for i, a in enumerate(batch.column(0).to_pylist()):
-                if last[0] != a:
-                    last[:] = a, shingles(a_texts[i].as_py(), shingle)
-                keep.append(similar(last[1], shingles(b_texts[i].as_py(), shingle)))
+            for b, text in zip(batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), strict=True):
+                found = shingles(text.as_py(), shingle)
+                if b is None:
+                    last[0] = found
+                keep.append(b is not None and similar(last[0], found))
             return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
         return step
 
-    b_side = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    a_side = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    return map_batches(pairs.join(b_side, "b").join(a_side, "a").select("a", "b", "b_text", "a_text"), make, "a long, b long")
+    return map_batches(both, make, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, component_id (the smallest id of its component)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    docs = docs.withColumn("digest", F.md5("text"))
+    docs = docs.withColumn("digest", F.unhex(F.md5("text")))
     small_batches(docs.sparkSession)
-    rows = cut(_rows(docs, _common(docs, shingle), shingle))
-    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min(F.struct("digest", "size", "first")).alias("of"))
-    nodes = cut(nodes.select("same", "least", "of.*", F.monotonically_increasing_id().alias("node")))
-    bucket = nodes.select(F.posexplode("first").alias("place", "h"), "node", "size", F.col("node").alias("root"))
-    low, high, links, texts, roots = 0, SMALL, [], None, None
+    rows = _rows(docs, _common(docs, shingle), shingle).withColumn("node", F.monotonically_increasing_id())
+    rows = cut(rows)
+    repeated = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    # of the rows with one set, one stands for all
+    one = F.min(F.struct("digest", F.col("doc_id").alias("own"), "node", "size", "fp")).alias("of")
+    nodes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("least"), one).select("same", "least", "of.*"))
+    named = cut(rows.select("doc_id", "same", F.col("node").alias("row")).join(nodes.select("same", "node"), "same").select("doc_id", "row", "node"))
+    others = named.where("row <> node").select(F.col("row").alias("node"))
+    firsts = rows.select("node", "size", "first").join(_small(others, others.count()), "node", "left_anti")
+
+    # by fingerprint: of each class one node stands for all, and classes within the radius are linked
+    classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    twins = nodes.join(classes, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = cut(twins.where("a <> b").unionByName(near_links(classes, RADIUS).select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    texts = _texts(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), repeated)
+    links = [cut(_compared(pairs, texts, shingle))]
+    roots = components(links[0])
+
+    # by shared shingles: all that is left
+    own = _small(roots.select(F.col("node").alias("n"), "root"), roots.count())
+    rooted = firsts.join(own, F.col("node") == F.col("n"), "left").select("node", "size", "first", F.coalesce("root", "node").alias("root"))
+    bucket = rooted.select(F.posexplode("first").alias("place", "h"), "node", "root", "size")
+    bucket = bucket.select("h", "node", "root", F.shiftleft("size", 32).bitwiseOR(F.col("place")).alias("at"))
+    low, high, texts = 0, SMALL, None
     while True:
         met = cut(_met(bucket, low, high))
-        pairs = met.where("h is null").select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-        if texts is None:
-            wanted = met.select(F.explode(F.array("node", "other")).alias("node")).where("node is not null").distinct()
-            wanted = cut(nodes.select("node", "digest").join(wanted, "node"))
-            # texts of one digest are equal, and any of them will do
-            texts = cut(docs.select("digest", "text").join(wanted, "digest").dropDuplicates(["node"]).select("node", "text"))
+        pairs = met.where("h is null").select(F.col("other").alias("a"), F.col("node").alias("b"))
+        if texts is None:  # of those that meet now or later
+            texts = cut(_texts(docs, nodes, met.select(F.explode(F.array("node", "other")).alias("node")).where("node is not null"), repeated))
         new = cut(_compared(pairs, texts, shingle))
-        if roots is None or not new.isEmpty():
+        if not new.isEmpty():
             links.append(new)
             roots = components(reduce(DataFrame.unionByName, links))
-        left = met.where("h is not null").select("h", "node", "size", "place")
+        left = met.where("h is not null").select("h", "node", "at")
         if left.isEmpty():
             break
         own = roots.select(F.col("node").alias("n"), "root")
-        bucket = left.join(own, F.col("node") == F.col("n"), "left").select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+        bucket = left.join(own, F.col("node") == F.col("n"), "left").select("h", "node", "at", F.coalesce("root", "node").alias("root"))
         low, high = (high, high * 64) if low else (1, 64)
-    named = cut(rows.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node"))
     least = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     by_id = cut(named.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"))
     if not by_id.isEmpty():
         roots = components(reduce(DataFrame.unionByName, [*links, by_id]))
     rooted = cut(nodes.select("node", "least").join(roots.select("node", "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(rooted.select("node", "root"), "node").join(smallest, "root").select("doc_id", "component_id")
+    return named.select("doc_id", "node").join(rooted.select("node", "root"), "node").join(smallest, "root").select("doc_id", "component_id")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsets.llm.common import WORD, cut, text_of
+from netsets.llm.common import cut, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 RADIX = 256
@@ -129,7 +129,7 @@ def mix(
     repeat: int = 2,
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
-    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
+    size = word_count(text_of(text_col))
     given = F.col(weight_col).cast("double") if weight_col else F.lit(0.0)
     sized = docs.select(
         F.col(id_col).alias("doc_id"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsets.llm.bitslice import group_links
-from netsets.llm.common import cut, map_batches, text_of
+from netsets.llm.common import cut, map_batches, returning, text_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -59,11 +59,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     hashes = np.fromiter(
         (digest(flat[a:b], SEED) for a, b in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, COUNT_AT_ONCE):
+    for at in range(0, len(hashes), COUNT_AT_ONCE):
         part = hashes[at : at + COUNT_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -145,7 +150,7 @@ def _links_in_buckets(rows: DataFrame, radius: int) -> DataFrame:
         if len(member):
             yield pa.RecordBatch.from_arrays([pa.array(rep[member]), pa.array(rep[root])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(returning(run), "a long, b long")
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:

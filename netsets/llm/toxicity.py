@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsets.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from netsets.llm.common import cut, small_batches, text_of
+from netsets.llm.common import cut, give_back, returning, small_batches, text_of
 
 FOLDS = 5
 SAMPLE_ROWS = 20_000
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 names=["term", "fold", "y", "n"],
             )
 
-    counted = texts.mapInArrow(count_terms, "term string, fold int, y int, n long").groupBy("term").agg(
+    counted = texts.mapInArrow(returning(count_terms), "term string, fold int, y int, n long").groupBy("term").agg(
         *[F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}") for f in range(1, FOLDS) for y in (0, 1)]
     )
     # only terms that pass in some lexicon come to the driver: the sample's size bounds them, whatever the size of the corpus
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [featurizers[f](t.as_py()) for f, t in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["fold", "y", "x"])
 
-    table = texts.mapInArrow(features, "fold int, y int, x array<double>").toPandas()
+    table = texts.mapInArrow(returning(features), "fold int, y int, x array<double>").toPandas()
     x, y, fold = np.array(table["x"].tolist(), float), table["y"].to_numpy(float), table["fold"].to_numpy()
     order = np.lexsort((*x.T, y, fold))  # the same model whatever the order in which tasks end
     x, y, fold = x[order], y[order], fold[order]
@@ -252,6 +252,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_c
         scorer = shared.value.scorer()
         for texts in batches:
             yield pd.Series(scorer([t.encode() for t in texts]))
+        give_back()
 
     return docs.withColumn(score_col, score(text_of(text_col)))
 

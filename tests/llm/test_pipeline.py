@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as cp
 from netsets.llm.toxicity import toxicity
 from tests.llm.test_decontaminate import words
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_jaccard import slow_roots
 from tests.llm.test_tokens import ids
 
 SF = "/root/testdata/sf0.001"
@@ -35,8 +35,7 @@ def test_toxicity(spark, stages):
 
 def test_near_copies(stages):
     rows = sorted((r.doc_id, r.text) for r in stages[1].collect())
-    roots = slow_components([slow_fingerprint(t) for _, t in rows])
-    assert sorted(r.doc_id for r in stages[2].collect()) == [rows[i][0] for i in range(len(rows)) if roots[i] == i]
+    assert sorted(r.doc_id for r in stages[2].collect()) == [i for i, root in slow_roots(rows) if i == root]
 
 
 def test_benchmark(spark, stages):
