@@ -62,11 +62,11 @@ def overlaps(a_x: DataFrame, b_x: DataFrame) -> DataFrame:
     return both.join(na, "a").join(nb, "b")
 
 
-def match_pairs(sets_x: DataFrame, threshold: float, aware: bool = True) -> DataFrame:
-    """(a, b), both ways, of different sets that match at the threshold."""
+def match_pairs(sets_x: DataFrame, threshold: float, aware: bool = True, over: int = 0) -> DataFrame:
+    """(a, b), both ways, of different sets that match at the threshold; sets of at most `over` members match none."""
     both, na, nb = F.col("both"), F.col("na"), F.col("nb")
     score = size_aware_match(both, na, nb) if aware else jaccard(both, na, nb)
-    return overlaps(sets_x, sets_x).where("a <> b").where(score >= threshold).select("a", "b")
+    return overlaps(sets_x, sets_x).where("a <> b").where((na > over) & (nb > over) & (score >= threshold)).select("a", "b")
 
 
 def greedy_keep(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -123,13 +123,20 @@ def vote(scored: DataFrame, sets_x: DataFrame, threshold: float = 0.75, least: i
     return votes.select(F.when(F.col("m.w") > F.col("wa"), F.col("m.b")).otherwise(F.col("a")).alias("cid")).distinct()
 
 
-def combine(scored: DataFrame, sets_x: DataFrame, n_sources: int, threshold: float = 0.75, add: bool = True) -> DataFrame:
-    """cid, score, sources: sets of several sources grouped around representatives in score order. Each set that is not kept joins
-    the first kept one (in that order) it matches; every source counts once, with its best member; the sum is divided by n_sources.
-    add=False takes the best score instead."""
+def combine(scored: DataFrame, sets_x: DataFrame, n_sources: int, threshold: float = 0.75, add: bool = True, aware: bool = False, over: int = 0) -> DataFrame:
+    """cid, score, sources: sets of several sources grouped around representatives in score order. Each source is deduplicated by
+    itself first (unless the threshold is 1). Each set that is not kept joins the first kept one (in that order) it matches; every source
+    counts once, with its best member; the sum is divided by n_sources. add=False takes the best score instead. Sets match by their
+    plain Jaccard similarity (aware=True: by size class too); those of at most `over` members match none."""
     place = F.struct((-F.col("score")).alias("s"), F.col("cid").alias("c"))
     ranked = scored.select("cid", "src", "score", place.alias("place"))
-    pairs = cut(match_pairs(sets_x, threshold))
+    pairs = cut(match_pairs(sets_x, threshold, aware, over))
+    if threshold < 1:
+        a, b = (scored.select(F.col("cid").alias(c), F.col("src").alias(f"s{c}")) for c in "ab")
+        alone = pairs.join(a, "a").join(b, "b").where("sa = sb").select("a", "b")
+        ranked = cut(ranked.join(greedy_keep(ranked.select("cid", "place"), alone), "cid", "left_semi"))
+        pairs = pairs.join(ranked.select(F.col("cid").alias("a")), "a", "left_semi").join(ranked.select(F.col("cid").alias("b")), "b", "left_semi")
+        pairs = cut(pairs.select("a", "b"))
     kept = cut(greedy_keep(ranked.select("cid", "place"), pairs))
     rep = ranked.join(kept, "cid", "left_semi").select(F.col("cid").alias("b"), F.col("place").alias("pb"))
     rest = ranked.join(kept, "cid", "left_anti").select(F.col("cid").alias("a"), "src", "score", "place")
@@ -141,12 +148,12 @@ def combine(scored: DataFrame, sets_x: DataFrame, n_sources: int, threshold: flo
 
 
 def integrate(scored: DataFrame, sets_x: DataFrame, factors: dict[str, float], threshold: float = 0.75, least_score: float = 1e-4, small_from: str | None = None, add: bool = True) -> DataFrame:
-    """As combine, after weighing each source by its factor, dropping low scores, and dropping sets under 4 members except those of
-    the source that specialises in them."""
+    """As combine, after dropping low scores, weighing each source by its factor, and dropping sets under 4 members except those of
+    the source that specialises in them. Sets of at most 3 members are never merged."""
     factor = F.coalesce(*[F.when(F.col("src") == s, F.lit(f)) for s, f in factors.items()], F.lit(1.0))
-    weighed = scored.withColumn("score", F.col("score") * factor).where(F.col("score") >= least_score).join(sizes(sets_x), "cid")
+    weighed = scored.where(F.col("score") >= least_score).withColumn("score", F.col("score") * factor).join(sizes(sets_x), "cid")
     kept = weighed.where((F.col("src") == small_from) | (F.col("size") >= 4) if small_from else F.col("size") >= 4).select("cid", "src", "score")
-    return combine(kept, sets_x.join(kept, "cid", "left_semi"), 1, threshold, add)
+    return combine(kept, sets_x.join(kept, "cid", "left_semi"), 1, threshold, add, over=3)
 
 
 def source_histogram(combined: DataFrame) -> DataFrame:
@@ -181,6 +188,24 @@ def readd_hubs(sets_x: DataFrame, hubs: DataFrame, edges: DataFrame, threshold:
     return sets_x.select("cid", "node").unionByName(hub_members(sets_x, hubs, edges, threshold).select("cid", "node"))
 
 
+def readd_scored(scored: DataFrame, sets_x: DataFrame, hubs: DataFrame, edges: DataFrame, topo: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Sets and scores after giving hubs back by a second, topological weight: a hub joins where its mean `topo` weight to the set's first
+    members, over edges that are there, reaches the threshold. In order of falling mean edge weight, each hub that joins adds that mean, taken over the first members, as
+    the weight of its pairs with those in the set by then: the score becomes the mean over the pairs of the larger set."""
+    members = sizes(sets_x)
+    there = topo.join(edges.select("u", "v"), ["u", "v"], "left_semi").select("u", "v", "w")
+    allowed = hub_members(sets_x, hubs, there, threshold).select("cid", "node")
+    joining = allowed.join(hub_members(sets_x, hubs, edges, float("-inf")), ["cid", "node"])
+    # a hub that joins as the k-th brings the weight c * (n + k - 1) of the pairs that it adds
+    order = Window.partitionBy("cid").orderBy(F.desc("connectivity"), "node")
+    placed = joining.join(members, "cid").withColumn("k", F.row_number().over(order))
+    added = placed.groupBy("cid", "size").agg(F.sum(F.col("connectivity") * (F.col("size") + F.col("k") - 1)).alias("w"), F.max("k").alias("k"))
+    n, m = F.col("size"), F.col("size") + F.col("k")
+    score = F.when(F.col("k").isNull(), F.col("score")).otherwise((F.col("score") * n * (n - 1) / 2 + F.col("w")) / (m * (m - 1) / 2))
+    rescored = scored.join(added, "cid", "left").select("cid", score.alias("score"))
+    return sets_x.select("cid", "node").unionByName(allowed), rescored
+
+
 def return_hubs(sets_x: DataFrame, hubs: DataFrame, weights: DataFrame, net: DataFrame, threshold: float = 0.3) -> DataFrame:
     """cid, node, score after giving hubs back in order of falling degree: a hub joins where its summed weight to the members, over the set's
     size at that time, exceeds the threshold, so hubs that joined before it count. Sets under two members or with score 0 go.

@@ -148,6 +148,20 @@ def likelihood_ratio(binned: DataFrame, table: DataFrame) -> DataFrame:
     return binned.join(F.broadcast(table.where("cls in (0, 1)")), ["subtype", "bin"]).groupBy("u", "v").agg(F.exp(F.sum(sign * F.log("likelihood"))).alias("w"))
 
 
+def posterior_ratio(binned: DataFrame, table: DataFrame, priors: DataFrame, damp: float = 1.0) -> DataFrame:
+    """u, v, w: the posterior of class 1 over that of class 0."""
+    p = posteriors(binned, table, priors, damp).groupBy("u", "v").pivot("cls", [1, 0]).agg(F.max("p")).toDF("u", "v", "one", "zero")
+    return p.select("u", "v", (F.col("one") / F.col("zero")).alias("w"))
+
+
+def first_value(evidence: DataFrame, subtypes: list[str], flat: bool = False) -> DataFrame:
+    """u, v, w: an edge's first score that is not zero, in the order of the subtypes (flat: 1 for every edge that has one)."""
+    rank = F.coalesce(*[F.when(F.col("subtype") == s, F.lit(i)) for i, s in enumerate(subtypes)])
+    ranked = evidence.where(F.col("subtype").isin(subtypes) & (F.col("score") != 0)).withColumn("r", rank)
+    first = ranked.groupBy("u", "v").agg(F.min_by("score", "r").alias("w"))
+    return first.withColumn("w", F.lit(1.0)) if flat else first
+
+
 def string_score(evidence: DataFrame, prior: float = 0.0) -> DataFrame:
     """u, v, w: probabilities of independent evidence joined, 1 - product of (1 - score)."""
     return evidence.groupBy("u", "v").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12))))) * (1 - prior)).alias("w"))

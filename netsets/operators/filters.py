@@ -69,7 +69,7 @@ def rescaled_top(edges: DataFrame, k: int, mode: str = "norm", cap: float = 100.
     every = Window.partitionBy()
     w = F.col("w")
     if mode == "noweight":
-        return edges.orderBy(F.xxhash64(F.lit(seed), "u", "v"), "u", "v").limit(k).select("u", "v", F.lit(1.0).alias("w"))
+        return edges.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "u", "v")), "u", "v").limit(k).select("u", "v", F.lit(1.0).alias("w"))
     if mode == "norm":
         edges = edges.select("u", "v", F.least(w, F.lit(cap)).alias("w"))
         # the largest of all edges is the largest of the k kept ones

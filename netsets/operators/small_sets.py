@@ -22,9 +22,8 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("u", "v")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("sum"))
 
 
-def _common(edges: DataFrame) -> DataFrame:
+def _common(t: DataFrame) -> DataFrame:
     """u, v, x, px: each edge's common neighbours x with the product of their edge scores. From triangles, each once."""
-    t = triangles(edges)
     cases = [F.struct(F.col(p).alias("u"), F.col(q).alias("v"), F.col(x).alias("x"), (F.col(wp) * F.col(wq)).alias("px")) for p, q, x, wp, wq in (("a", "b", "c", "wac", "wbc"), ("a", "c", "b", "wab", "wbc"), ("b", "c", "a", "wab", "wac"))]
     return t.select(F.explode(F.array(*cases)).alias("s")).select("s.*")
 
@@ -56,20 +55,19 @@ def sets_of_three(scored: DataFrame, proven: DataFrame | None = None, cohesion:
     """a, b, c, score: a triangle's edges, each discounted by common neighbours outside the triangle; their mean, with cohesion times
     their sum's share in itself plus the outside edges of its nodes."""
     base = cut(_proven(scored, proven))
-    common = cut(_common(base))
-    lost = cut(common.groupBy("u", "v").agg(F.sum("px").alias("lost")))
-    tri = triangles(base)
+    tri = cut(triangles(base))
+    lost = cut(_common(tri).groupBy("u", "v").agg(F.sum("px").alias("lost")))
     total = None
     for p, q, w, others in (("a", "b", "wab", "wac wbc"), ("a", "c", "wac", "wab wbc"), ("b", "c", "wbc", "wab wac")):
         x, y = others.split()
         tri = tri.join(lost.select(F.col("u").alias(p), F.col("v").alias(q), F.col("lost").alias("l")), [p, q])
         # the triangle's own third node is no outsider
         kept = F.greatest(F.lit(0.0), F.col(w) * (1 - (F.col("l") - F.col(x) * F.col(y))))
-        tri = tri.withColumn(f"n{w}", kept).drop("l")
+        tri = cut(tri.withColumn(f"n{w}", kept).drop("l"))
         total = F.col(f"n{w}") if total is None else total + F.col(f"n{w}")
     if not cohesion:
         return tri.select("a", "b", "c", (total / 3).alias("score")).where(F.col("score") >= least)
-    e = _ends(base)
+    e = cut(_ends(base))
     for n in "abc":
         tri = tri.join(e.select(F.col("node").alias(n), F.col("sum").alias(f"e{n}")), n)
     ext = F.greatest(F.col("ea") + F.col("eb") + F.col("ec") - 2 * (F.col("wab") + F.col("wac") + F.col("wbc")), F.lit(0.0))

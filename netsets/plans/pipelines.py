@@ -97,48 +97,63 @@ def no_terms(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def supervised(evidence: DataFrame, refs_x: DataFrame, top: int = 20_000) -> DataFrame:
     """Edge scores learned from evidence, the best `top` normalised."""
-    ev = cut(evidence)
-    labels = cut(E.label_edges(ev.select("u", "v").distinct(), refs_x))
-    binned = cut(E.apply_cuts(ev, cut(E.cut_points(E.histogram(ev, labels)))))
+    labels = cut(E.label_edges(evidence.select("u", "v").distinct(), refs_x))
+    binned = cut(E.apply_cuts(evidence, cut(E.cut_points(E.histogram(evidence, labels)))))
     p = E.posteriors(binned, E.likelihoods(binned, labels), E.class_priors(labels)).where("cls = 1")
     return FL.rescaled_top(p.select("u", "v", F.col("p").alias("w")), top, "norm")
 
 
+def clustered(edges: DataFrame, least_size: int = 4, threshold: float = 0.75) -> DataFrame:
+    """cid, node, score: sets of at least that size by every overlapping method, scored by weighted density and combined."""
+    found = [("cohesive", P.cohesive_sets(edges, least_size=least_size, density=0.0))]
+    found += [(method, P.published_sets(edges, method)) for method in PUBLISHED]
+    sets = reduce(DataFrame.unionByName, [x.select(F.concat_ws(":", F.lit(method), "cid").alias("cid"), "node", F.lit(method).alias("src")) for method, x in found])
+    sets = cut(sets)
+    sizes = C.sizes(sets).where(F.col("size") >= least_size)
+    sets = sets.join(sizes.select("cid"), "cid", "left_semi")
+    scored = cut(C.weighted_density(sets, edges).select("cid", "score").join(sets.select("cid", "src").distinct(), "cid"))
+    both = cut(C.combine(scored, sets.select("cid", "node"), len(found), threshold).select("cid", "score"))
+    return sets.select("cid", "node").join(both, "cid")
+
+
 def decomposed(edges: DataFrame, ontology: tuple[DataFrame, DataFrame, DataFrame], hub_degree: int = 50, threshold: float = 0.3) -> DataFrame:
-    """cid, node, score: hubs out, a subnetwork per term (one without terms), cohesive sets of each, recombined, hubs back."""
-    links, annots, terms = ontology
+    """cid, node, score: hubs out, a subnetwork per term (one without terms), sets of each, recombined, hubs back."""
+    _, annots, terms = ontology
     hubs = cut(G.hubs_fixed(edges, hub_degree))
     left = cut(G.without(edges, hubs))
     nets = left.withColumn("term", F.lit("all")) if terms.isEmpty() else O.subnetworks(left, annots, terms)
     # ids carry the term, so that one pass over all terms' components keeps subnetworks apart
-    tagged = nets.select(F.concat_ws("\t", "term", "u").alias("u"), F.concat_ws("\t", "term", "v").alias("v"), "w")
-    sets = cut(P.cohesive_sets(tagged, density=0.0))
-    rows = sets.select(F.split("node", "\t")[0].alias("term"), "cid", F.split("node", "\t")[1].alias("node"))
-    first = C.recombine(rows, edges)
-    named = rows.select(F.concat_ws("/", "term", "cid").alias("cid"), "node").join(first.select("cid"), "cid", "left_semi")
-    back = cut(C.readd_hubs(named, hubs, edges, threshold))
-    return back.join(C.weighted_density(back, edges).select("cid", "score"), "cid")
-
-
-def small(evidence: DataFrame, refs_x: DataFrame) -> DataFrame:
-    """cid, node, score: sets of two and three from size-specific scores."""
-    ev = cut(evidence)
-    labels = cut(E.label_sizes(ev.select("u", "v").distinct(), refs_x))
-    s = E.iso_em(ev, labels)
+    tagged = cut(nets.select(F.concat_ws("\t", "term", "u").alias("u"), F.concat_ws("\t", "term", "v").alias("v"), "w"))
+    sets = clustered(tagged)
+    rows = cut(sets.select(F.split("node", "\t")[0].alias("term"), "cid", F.split("node", "\t")[1].alias("node")))
+    first = cut(C.recombine(rows, edges))
+    named = cut(rows.select(F.concat_ws("/", "term", "cid").alias("cid"), "node").join(first.select("cid"), "cid", "left_semi"))
+    back, rescored = C.readd_scored(first.select("cid", "score"), named, hubs, edges, edges, threshold)
+    return back.join(cut(rescored), "cid")
+
+
+def small(evidence: DataFrame, refs_x: DataFrame, ontology: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """cid, node, score: sets of two and three from size-specific scores, weighed down where the ontology keeps their nodes apart."""
+    labels = cut(E.label_sizes(evidence.select("u", "v").distinct(), refs_x))
+    s = E.iso_em(evidence, labels)
     scored = cut(s.select("u", "v", F.col("s2").alias("w")))
     two = S.pairs_of_two(scored, large=s.select("u", "v", F.col("s4").alias("w")))
     three = S.sets_of_three(scored)
     out = two.select(F.array("u", "v").alias("m"), "score").unionByName(three.select(F.array("a", "b", "c").alias("m"), "score"))
-    return out.select(F.array_join("m", "+").alias("cid"), F.explode("m").alias("node"), "score")
+    out = cut(out.select(F.array_join("m", "+").alias("cid"), "m", "score"))
+    sets = out.select("cid", F.explode("m").alias("node"))
+    links, annots, terms = ontology
+    if not terms.isEmpty():
+        bad = cut(O.incompatible_edges(evidence.select("u", "v").distinct(), annots, links, terms))
+        out = O.down_weight(out.select("cid", "score"), sets, bad)
+    return sets.join(out.select("cid", "score"), "cid")
 
 
 def integrated(evidence: DataFrame, refs_x: DataFrame, ontology: tuple[DataFrame, DataFrame, DataFrame], factors: dict[str, float] | None = None) -> DataFrame:
-    """cid, score, sources of the three-part pipeline."""
+    """cid, score, sources of the three-part pipeline. Evidence is computed once for all parts."""
+    evidence = cut(evidence)
     edges = cut(supervised(evidence, refs_x))
-    big = P.cohesive_sets(edges, density=0.0)
-    swc = big.join(C.weighted_density(big, edges).select("cid", "score"), "cid")
-    decomp = decomposed(edges, ontology)
-    rows = [(swc, "swc"), (decomp, "decomp"), (small(evidence, refs_x), "small")]
+    rows = [(clustered(edges), "swc"), (decomposed(edges, ontology), "decomp"), (small(evidence, refs_x, ontology), "small")]
     named = cut(reduce(DataFrame.unionByName, [d.select(F.concat_ws(":", F.lit(s), "cid").alias("cid"), "node", "score", F.lit(s).alias("src")) for d, s in rows]))
     scored = named.select("cid", "src", "score").distinct()
     out = C.integrate(scored, named.select("cid", "node"), factors or {"swc": 1.0, "decomp": 0.6, "small": 1.0}, small_from="small")

@@ -182,11 +182,49 @@ def top_limited_degree(spark, sf):
     return FL.limit_degree(V.supp_net(spark, sf), 1000, 20)
 
 
-@query()
+@query("supp_net", "SELECT u, v, 1.0::DOUBLE AS w FROM supp_net ORDER BY md5('7|' || u || '|' || v), u, v LIMIT 500")
 def sampled_edges(spark, sf):
     return FL.rescaled_top(V.supp_net(spark, sf), 500, "noweight", seed=7)
 
 
+TOP = "--ctes t AS (SELECT * FROM supp_net ORDER BY w DESC, u, v LIMIT 1000)"
+
+
+@query("supp_net", f"{TOP} SELECT u, v, round(w / (SELECT max(w) FROM t), 6) AS w FROM t")
+def top_scaled(spark, sf):
+    return rounded(FL.rescaled_top(V.supp_net(spark, sf), 1000, "scale"), "w")
+
+
+@query("supp_net", f"{TOP} SELECT u, v, 1.0::DOUBLE AS w FROM t")
+def top_flat(spark, sf):
+    return FL.rescaled_top(V.supp_net(spark, sf), 1000, "topall1")
+
+
+@query("supp_net", f"{TOP} SELECT * FROM t")
+def top_as_it_is(spark, sf):
+    return FL.rescaled_top(V.supp_net(spark, sf), 1000, "none")
+
+
+@query("evidence", "SELECT * FROM evidence WHERE subtype IN ('SUPP', 'SIZE') AND score <> 0")
+def kept_evidence(spark, sf):
+    return FL.keep_evidence(V.evidence(spark, sf), ["SUPP", "SIZE"])
+
+
+@query("evidence", "SELECT u, v, arg_min(score, CASE subtype WHEN 'SIZE' THEN 0 ELSE 1 END) AS w FROM evidence WHERE subtype <> 'ORDERS' AND score <> 0 GROUP BY 1, 2")
+def first_values(spark, sf):
+    return E.first_value(V.evidence(spark, sf), ["SIZE", "SUPP"])
+
+
+@query("evidence", "SELECT DISTINCT u, v, 1.0::DOUBLE AS w FROM evidence WHERE subtype = 'SUPP' AND score <> 0")
+def flat_values(spark, sf):
+    return E.first_value(V.evidence(spark, sf), ["SUPP"], flat=True)
+
+
+@query("evidence", "SELECT u, v, score AS w FROM evidence WHERE subtype = 'SUPP' ORDER BY score DESC, u, v LIMIT 100")
+def subtype_top(spark, sf):
+    return FL.subtype_edges(V.evidence(spark, sf), "SUPP", 100)
+
+
 @query("evidence", "SELECT u, v, score AS w FROM evidence WHERE subtype = 'SUPP'")
 def subtype_edges(spark, sf):
     return FL.subtype_edges(V.evidence(spark, sf), "SUPP")
@@ -248,7 +286,14 @@ def relative_connectivity(spark, sf):
 TRI = "tri AS (SELECT x.u AS a, x.v AS b, y.v AS c, x.w AS wab, z.w AS wac, y.w AS wbc FROM {0} x JOIN {0} y ON x.v = y.u JOIN {0} z ON z.u = x.u AND z.v = y.v)"
 
 
-@query("net", f"--ctes {TRI.format('net')} SELECT * FROM tri")
+# each edge from its end of lower (degree, id), so that a hub's neighbours are never paired
+ORIENTED = """arc AS MATERIALIZED (SELECT CASE WHEN a.degree < b.degree OR (a.degree = b.degree AND u < v) THEN u ELSE v END AS x, CASE WHEN a.degree < b.degree OR (a.degree = b.degree AND u < v) THEN v ELSE u END AS y
+        FROM net JOIN deg_net a ON a.node = u JOIN deg_net b ON b.node = v),
+    cor AS MATERIALIZED (SELECT list_sort([p.x, p.y, q.y]) AS t FROM arc p JOIN arc q ON p.x = q.x JOIN arc r ON r.x = p.y AND r.y = q.y)"""
+
+
+@query("net deg:net", f"""--ctes {ORIENTED} SELECT t[1] AS a, t[2] AS b, t[3] AS c, ab.w AS wab, ac.w AS wac, bc.w AS wbc
+    FROM cor JOIN net ab ON ab.u = t[1] AND ab.v = t[2] JOIN net ac ON ac.u = t[1] AND ac.v = t[3] JOIN net bc ON bc.u = t[2] AND bc.v = t[3]""")
 def triangles(spark, sf):
     return G.triangles(V.net(spark, sf))
 
@@ -301,7 +346,9 @@ def hub_threshold(spark, sf):
     return P.hub_threshold(V.kept(spark, sf))
 
 
-@query()
+# breadth first from every node; components of the kept network are far smaller than the bound on the steps
+@query("kept adj:kept", """--ctes bfs AS (SELECT DISTINCT src AS s, src AS n, 0 AS d FROM adj_kept UNION SELECT s, dst, d + 1 FROM bfs JOIN adj_kept ON src = n WHERE d < 30)
+    SELECT max(d)::INT AS diameter FROM (SELECT s, n, min(d) AS d FROM bfs GROUP BY 1, 2)""", recursive=True)
 def network_diameter(spark, sf):
     return spark.createDataFrame([(G.diameter(V.kept(spark, sf)),)], "diameter int")
 
@@ -311,8 +358,8 @@ def node_connectivity(spark, sf):
     return P.node_connectivity(V.kept(spark, sf).where("w >= 2"))
 
 
-@query("net net2 adj:net2", """SELECT p.dst AS a, q.dst AS b, p.src AS m, net.w, round((p.w + q.w + net.w) / 3, 6) AS score FROM adj_net2 p JOIN adj_net2 q ON p.src = q.src AND p.dst < q.dst
-    JOIN net ON net.u = p.dst AND net.v = q.dst ANTI JOIN net2 ON net2.u = p.dst AND net2.v = q.dst""")
+@query("net net2 adj:net2", """--ctes n AS MATERIALIZED (FROM net), h AS MATERIALIZED (FROM adj_net2), p AS MATERIALIZED (SELECT a.dst AS a, b.dst AS b, a.src AS m, a.w + b.w AS w FROM h a JOIN h b ON a.src = b.src AND a.dst < b.dst)
+    SELECT a, b, m, n.w, round((p.w + n.w) / 3, 6) AS score FROM p JOIN n ON n.u = a AND n.v = b WHERE n.w < 2""")
 def triangle_completion(spark, sf):
     edges = cut(V.net(spark, sf))
     return only(G.complete_triangles(edges.where("w >= 2"), edges), "a", "b", "m", "w", "score")
@@ -331,7 +378,18 @@ def adjust_cd(spark, sf):
     return rounded(W.adjust_cd(cut(V.net(spark, sf))), "w")
 
 
-@query()
+ROUND = """top{k} AS (SELECT c.u, c.v, sum(a.w + b.w) AS t FROM com c JOIN w{j} a ON a.u = least(c.x, c.u) AND a.v = greatest(c.x, c.u) JOIN w{j} b ON b.u = least(c.x, c.v) AND b.v = greatest(c.x, c.v) GROUP BY 1, 2),
+    s{j} AS (SELECT node, sum(w) AS s FROM (SELECT u AS node, w FROM w{j} UNION ALL SELECT v, w FROM w{j}) GROUP BY 1), p{j} AS (SELECT node, s + {pad} AS z FROM s{j} JOIN pad USING (node)),
+    w{k} AS (SELECT kept.u, kept.v, CASE WHEN a.z + b.z > 0 THEN coalesce(t, 0) / (a.z + b.z) ELSE 0 END AS w FROM kept LEFT JOIN top{k} t USING (u, v) JOIN p{j} a ON a.node = kept.u JOIN p{j} b ON b.node = kept.v)"""
+
+
+@query("kept deg:kept", f"""--ctes {TRI.format('kept')}, mean AS (SELECT avg(degree) AS m, count(*) AS nodes FROM deg_kept), pad AS (SELECT node, degree::DOUBLE AS d, greatest(0, m - degree) AS p FROM deg_kept, mean),
+    com AS MATERIALIZED (SELECT a AS u, b AS v, c AS x FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, c, a FROM tri),
+    w1 AS (SELECT kept.u, kept.v, coalesce(2 * n, 0) / (a.d + a.p + b.d + b.p) AS w FROM kept LEFT JOIN (SELECT u, v, count(*)::DOUBLE AS n FROM com GROUP BY 1, 2) c USING (u, v)
+           JOIN pad a ON a.node = kept.u JOIN pad b ON b.node = kept.v),
+    {ROUND.format(j=1, k=2, pad="p")},
+    {ROUND.format(j=2, k=3, pad="greatest(0, (SELECT sum(s) FROM s2) / (SELECT nodes FROM mean) - s)")}
+    SELECT u, v, round(w, 6) AS w FROM w3""")
 def adjust_cd_three_rounds(spark, sf):
     return rounded(W.adjust_cd(cut(V.kept(spark, sf)), rounds=3), "w")
 
@@ -437,26 +495,69 @@ def reliable_concatenation(spark, sf):
     return scored_mixed(spark, sf).where("score > 0.05").select("cid", "src", "score")
 
 
-COMBINED = """, firsts AS (SELECT k.cid, k.src, k.score, arg_min(p.cid, p.r) AS rep FROM ranked k JOIN pairs ON a = k.cid JOIN ranked p ON p.cid = b AND p.r < k.r AND p.cid IN (FROM kept_sets)
-        WHERE k.cid NOT IN (FROM kept_sets) GROUP BY 1, 2, 3),
-    best AS (SELECT rep, src, max(score) AS score FROM (SELECT cid AS rep, src, score FROM ranked WHERE cid IN (FROM kept_sets) UNION ALL SELECT rep, src, score FROM firsts) GROUP BY 1, 2)"""
+def _walk(k: int, rows: str, pairs: str) -> str:
+    """kept{k}: the sets that a pass over `rows` in score order keeps."""
+    return f"""ranked{k} AS (SELECT cid, src, score, row_number() OVER (ORDER BY score DESC, cid) AS r FROM {rows}),
+    near{k} AS (SELECT r, list(b) AS bs FROM ranked{k} LEFT JOIN {pairs} ON a = cid GROUP BY 1),
+    walk{k} AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS kept
+             UNION ALL SELECT k.r, CASE WHEN list_has_any(kept, coalesce(list_filter(bs, lambda x: x IS NOT NULL), []::VARCHAR[])) THEN kept ELSE list_append(kept, cid) END
+             FROM walk{k} JOIN ranked{k} k ON k.r = walk{k}.r + 1 JOIN near{k} near ON near.r = k.r),
+    kept{k} AS (SELECT unnest(kept) AS cid FROM walk{k} WHERE r = (SELECT max(r) FROM walk{k}))"""
+
+
+def _combined_sql(rows: str, over: int, body: str) -> str:
+    """Each source deduplicated, then all sets grouped around representatives."""
+    return f"""--ctes {MIXED}, {DENSITY.format('mixed')}, {PAIRS}, src_rows AS ({rows}),
+    jp AS (SELECT a, b FROM mm WHERE both_n / (na + nb - both_n)::DOUBLE >= 0.5 AND na > {over} AND nb > {over}),
+    alone AS (SELECT a, b FROM jp JOIN src_rows x ON x.cid = a JOIN src_rows y ON y.cid = b WHERE x.src = y.src),
+    {_walk(1, 'src_rows', 'alone')}, rows2 AS (SELECT * FROM src_rows WHERE cid IN (FROM kept1)), {_walk(2, 'rows2', 'jp')},
+    firsts AS (SELECT k.cid, k.src, k.score, arg_min(p.cid, p.r) AS rep FROM ranked2 k JOIN jp ON a = k.cid JOIN ranked2 p ON p.cid = b AND p.r < k.r AND p.cid IN (FROM kept2)
+        WHERE k.cid NOT IN (FROM kept2) GROUP BY 1, 2, 3),
+    best AS (SELECT rep, src, max(score) AS score FROM (SELECT cid AS rep, src, score FROM ranked2 WHERE cid IN (FROM kept2) UNION ALL SELECT rep, src, score FROM firsts) GROUP BY 1, 2) {body}"""
+
+
+ALL_ROWS = f"SELECT cid, {SRC} AS src, score FROM dens_mixed"
 
 
-@query("net preds refs", _greedy_sql("score DESC, cid", f"{COMBINED} SELECT rep AS cid, round(sum(score) / 2, 6) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM best GROUP BY 1"), recursive=True)
+@query("net preds refs", _combined_sql(ALL_ROWS, 0, "SELECT rep AS cid, round(sum(score) / 2, 6) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM best GROUP BY 1"), recursive=True)
 def combine_sources(spark, sf):
     return rounded(C.combine(scored_mixed(spark, sf), mixed(spark, sf), 2, 0.5), "score")
 
 
-@query("net preds refs", _greedy_sql("score DESC, cid", f"{COMBINED} SELECT n AS n_sources, count(*) AS n_sets FROM (SELECT rep, count(*)::INT AS n FROM best GROUP BY 1) GROUP BY 1"), recursive=True)
+@query("net preds refs", _combined_sql(ALL_ROWS, 0, "SELECT rep AS cid, round(max(score), 6) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM best GROUP BY 1"), recursive=True)
+def combine_best(spark, sf):
+    return rounded(C.combine(scored_mixed(spark, sf), mixed(spark, sf), 2, 0.5, add=False), "score")
+
+
+@query("net preds refs", _combined_sql(ALL_ROWS, 0, "SELECT n AS n_sources, count(*) AS n_sets FROM (SELECT rep, count(*)::INT AS n FROM best GROUP BY 1) GROUP BY 1"), recursive=True)
 def source_overlap_histogram(spark, sf):
     return C.source_histogram(C.combine(scored_mixed(spark, sf), mixed(spark, sf), 2, 0.5))
 
 
-@query()
+WEIGHED = f"SELECT cid, src, score * CASE src WHEN 'refs' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS score FROM ({ALL_ROWS}) JOIN sz USING (cid) WHERE score >= 1e-4"
+
+
+@query("net preds refs", _combined_sql(f"{WEIGHED} AND n >= 4", 3, "SELECT rep AS cid, round(sum(score), 6) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM best GROUP BY 1"), recursive=True)
 def integrate_sources(spark, sf):
     return rounded(C.integrate(scored_mixed(spark, sf), mixed(spark, sf), {"preds": 1.0, "refs": 0.6}, 0.5), "score")
 
 
+@query("net preds refs", _combined_sql(f"{WEIGHED} AND (n >= 4 OR src = 'preds')", 3, "SELECT rep AS cid, round(sum(score), 6) AS score, string_agg(src, ',' ORDER BY src) AS sources FROM best GROUP BY 1"), recursive=True)
+def integrate_with_small(spark, sf):
+    return rounded(C.integrate(scored_mixed(spark, sf), mixed(spark, sf), {"preds": 1.0, "refs": 0.6}, 0.5, small_from="preds"), "score")
+
+
+@query("net preds refs", f"--ctes {MIXED}, {DENSITY.format('mixed')}, {PAIRS}, src_rows AS ({ALL_ROWS}), jp AS (SELECT a, b FROM mm WHERE both_n / (na + nb - both_n)::DOUBLE >= 0.5), {_walk(1, 'src_rows', 'jp')} SELECT cid, score FROM dens_mixed WHERE cid IN (FROM kept1)", recursive=True)
+def dedup_plain(spark, sf):
+    return C.dedup(scored_mixed(spark, sf), mixed(spark, sf), 0.5, by_score=True, aware=False).select("cid", "score")
+
+
+@query("net preds refs", f"""--ctes {MIXED}, {DENSITY.format('mixed')}, {PAIRS}, src_rows AS (SELECT cid, {SRC} AS src, score FROM dens_mixed JOIN sz USING (cid) WHERE n >= 4 AND score >= 0.01),
+    jp AS (SELECT a, b FROM mm WHERE both_n / (na + nb - both_n)::DOUBLE >= 0.5), {_walk(1, 'src_rows', 'jp')} SELECT cid, score, size FROM dens_mixed WHERE cid IN (FROM kept1) ORDER BY score DESC, cid LIMIT 50""", recursive=True)
+def sets_for_evaluation(spark, sf):
+    return C.for_evaluation(scored_mixed(spark, sf), mixed(spark, sf), small_only=False, least_score=0.01, unique_at=0.5, top=50).select("cid", "score", "size")
+
+
 @query("basket", f"--ctes {BASKETS} SELECT count(*) AS n_sets, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS std_size FROM (SELECT count(*) AS n FROM baskets GROUP BY cid)")
 def size_statistics(spark, sf):
     return only(C.size_statistics(baskets(spark, sf)), "n_sets", "mean_size", "std_size")
@@ -688,6 +789,32 @@ def posterior_scores(spark, sf):
     return rounded(E.posteriors(binned, E.likelihoods(binned, labels), E.class_priors(labels)), "p")
 
 
+@query("evidence preds", f"""--ctes {BINNED}, pr AS (SELECT cls, total / (sum(total) OVER ())::DOUBLE AS prior FROM tot),
+    x AS (SELECT u, v, cls, product(likelihood) * any_value(prior) AS x FROM binned JOIN lik USING (subtype, bin) JOIN pr USING (cls) GROUP BY 1, 2, 3)
+    SELECT u, v, round(max(CASE WHEN cls = 1 THEN x END) / max(CASE WHEN cls = 0 THEN x END), 6) AS w FROM x GROUP BY 1, 2""")
+def posterior_ratios(spark, sf):
+    ev, labels = _labelled(spark, sf)
+    binned = cut(E.apply_cuts(ev, _fixed_cuts(spark)))
+    return rounded(E.posterior_ratio(binned, E.likelihoods(binned, labels), E.class_priors(labels)), "w")
+
+
+@query("evidence preds", f"""--ctes {BINNED}, k AS (SELECT subtype, bin, cls, count(*) AS n FROM binned JOIN lab USING (u, v) GROUP BY 1, 2, 3),
+    g AS (SELECT c.subtype, c.bin, tot.cls, total, bins, sum(coalesce(n, 0)) OVER (PARTITION BY c.subtype, tot.cls ORDER BY c.bin DESC) AS n
+          FROM cells c CROSS JOIN tot JOIN nb USING (subtype) LEFT JOIN k ON k.subtype = c.subtype AND k.bin = c.bin AND k.cls = tot.cls)
+    SELECT subtype, bin::INT AS bin, cls, round((n + 1) / (total + bins)::DOUBLE, 6) AS likelihood FROM g""")
+def cumulative_likelihoods(spark, sf):
+    ev, labels = _labelled(spark, sf)
+    return rounded(E.likelihoods(E.apply_cuts(ev, _fixed_cuts(spark)), labels, cumulative=True), "likelihood")
+
+
+@query("evidence preds", f"""--ctes {BINNED}, k AS (SELECT subtype, bin, cls, count(*) AS n FROM binned JOIN lab USING (u, v) GROUP BY 1, 2, 3)
+    SELECT c.subtype, c.bin::INT AS bin, tot.cls, round((coalesce(n, 0) + 1) / (total + (SELECT sum(bins) FROM nb))::DOUBLE, 6) AS likelihood
+    FROM cells c CROSS JOIN tot LEFT JOIN k ON k.subtype = c.subtype AND k.bin = c.bin AND k.cls = tot.cls""")
+def shared_likelihoods(spark, sf):
+    ev, labels = _labelled(spark, sf)
+    return rounded(E.likelihoods(E.apply_cuts(ev, _fixed_cuts(spark)), labels, shared_totals=True), "likelihood")
+
+
 @query("evidence preds", f"--ctes {BINNED} SELECT u, v, round(product(CASE WHEN cls = 1 THEN likelihood ELSE 1 / likelihood END), 6) AS w FROM binned JOIN lik USING (subtype, bin) GROUP BY 1, 2")
 def likelihood_ratio(spark, sf):
     ev, labels = _labelled(spark, sf)
@@ -714,7 +841,13 @@ def mdl_cutpoints(spark, sf):
     return E.cut_points(E.histogram(ev, labels)).select("subtype", F.array_join(F.transform("cuts", lambda x: x.cast("string")), " ").alias("cuts"))
 
 
-@query()
+# neighbouring bins pooled: the ratios of the result are the greatest convex minorant's slopes, max over beginnings of min over ends of pooled ratios
+@query("evidence preds", f"""--ctes {BINNED}, ab AS (SELECT subtype, bin, max(CASE WHEN cls = 1 THEN likelihood END) AS a, max(CASE WHEN cls = 0 THEN likelihood END) AS b FROM lik GROUP BY 1, 2),
+    blocks AS (SELECT x.subtype, x.bin AS lo, y.bin AS hi, sum(z.a) / sum(z.b) AS ratio FROM ab x JOIN ab y ON x.subtype = y.subtype AND x.bin <= y.bin JOIN ab z ON z.subtype = x.subtype AND z.bin BETWEEN x.bin AND y.bin GROUP BY 1, 2, 3),
+    slope AS (SELECT subtype, bin, max(least_ratio) AS ratio FROM (SELECT b.subtype, b.bin, lo, min(k.ratio) AS least_ratio FROM ab b JOIN blocks k ON k.subtype = b.subtype AND b.bin BETWEEN lo AND hi GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    pool AS (SELECT ab.*, round(ratio, 9) AS r FROM ab JOIN slope USING (subtype, bin)), m AS (SELECT subtype, r, avg(a) AS a, avg(b) AS b FROM pool GROUP BY 1, 2),
+    out AS (SELECT pool.subtype, bin, m.a, m.b FROM pool JOIN m USING (subtype, r))
+    SELECT subtype, bin::INT AS bin, 1 AS cls, round(a, 6) AS likelihood FROM out UNION ALL SELECT subtype, bin::INT, 0, round(b, 6) FROM out""")
 def smoothed_likelihoods(spark, sf):
     ev, labels = _labelled(spark, sf)
     return rounded(E.smooth(E.likelihoods(E.apply_cuts(ev, _fixed_cuts(spark)), labels)), "likelihood")
@@ -819,6 +952,27 @@ def down_weighted_sets(spark, sf):
     return rounded(O.down_weight(edges.select(cid, F.col("w").alias("score")), sets, bad), "score")
 
 
+TRIPLES = f"""{TRI.format('net2')}, s AS (SELECT a || '+' || b || '+' || c AS cid, a, b, c, wab + wac + wbc AS w FROM tri),
+    bad AS (SELECT cid, count(*) AS k FROM s JOIN neg ON (u = a AND v IN (b, c)) OR (u = b AND v = c) GROUP BY 1)"""
+
+
+def _triples(spark, sf, delete):
+    t = cut(G.triangles(V.net2(spark, sf)).withColumn("cid", F.concat_ws("+", "a", "b", "c")))
+    bad = V.neg(spark, sf).withColumn("p", F.lit(0.25))
+    scored = t.select("cid", (F.col("wab") + F.col("wac") + F.col("wbc")).alias("score"))
+    return rounded(O.down_weight(scored, t.select("cid", F.explode(F.array("a", "b", "c")).alias("node")), bad, delete), "score")
+
+
+@query("net2 neg", f"--ctes {TRIPLES} SELECT cid, round(w * 0.75 ** coalesce(k, 0), 6) AS score FROM s LEFT JOIN bad USING (cid)")
+def down_weighted_triples(spark, sf):
+    return _triples(spark, sf, False)
+
+
+@query("net2 neg", f"--ctes {TRIPLES} SELECT cid, round(w, 6) AS score FROM s WHERE cid NOT IN (SELECT cid FROM bad)")
+def triples_without_bad_edges(spark, sf):
+    return _triples(spark, sf, True)
+
+
 # ---------------------------------------------------------------- pipelines
 
 
@@ -834,6 +988,8 @@ def pipeline_single(spark, sf):
 
 @query()
 def pipeline_integrated(spark, sf):
-    links, annots = _annots(spark, sf)
-    ev = V.evidence(spark, sf)
-    return pipelines.integrated(ev, V.preds(spark, sf), pipelines.no_terms(spark))
+    links = cut(V.part_links(spark, sf))
+    annots = cut(O.propagate(V.part_annots(spark, sf), links))
+    least = annots.groupBy("term").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0] / 20
+    terms = cut(O.informative_terms(annots, links, least))
+    return pipelines.integrated(V.evidence(spark, sf), V.preds(spark, sf), (links, annots, terms))

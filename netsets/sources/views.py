@@ -95,6 +95,17 @@ def direct_annots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("term"))
 
 
+def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ontology of parts: brands below groups of brands below one root."""
+    brand = table(spark, sf_dir, "part").select("p_brand").distinct()
+    group = F.substring("p_brand", 1, 7)
+    return brand.select(F.col("p_brand").alias("child"), group.alias("parent")).unionByName(brand.select(group.alias("child"), F.lit("root").alias("parent")).distinct())
+
+
+def part_annots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node"), F.col("p_brand").alias("term"))
+
+
 def xval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """iteration, cid: each reference set is tested in one of ten iterations."""
     cids = refs(spark, sf_dir).select("cid").distinct()

@@ -98,16 +98,69 @@ def test_greedy_dedup_and_combine(spark, seed):
     for by_score in (False, True):
         order = sorted(sets, key=lambda c: (-score[c], c)) if by_score else sorted(sets)
         assert {r.cid for r in C.dedup(scored, sets_of(spark, sets), 0.5, by_score).collect()} == greedy(order, match)
-    order = sorted(sets, key=lambda c: (-score[c], c))
+    assert combined(scored, sets, 3) == expected_groups(sets, src, score, 3, 0)
+
+
+def combined(scored, sets, n, **options):
+    spark = scored.sparkSession
+    return {r.cid: (round(r.score, 9), r.sources) for r in C.combine(scored, sets_of(spark, sets), n, 0.5, **options).collect()}
+
+
+def expected_groups(sets, src, score, n, over):
+    """One pass inside each source, one over what is left; plain similarity, and no match for sets of at most `over` members."""
+    plain = lambda a, b: min(len(sets[a]), len(sets[b])) > over and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5
+    order = sorted(src, key=lambda c: (-score[c], c))
+    order = [c for c in order if c in greedy(order, lambda a, b: src[a] == src[b] and plain(a, b))]
     kept, groups = [], {}
     for c in order:
-        rep = next((k for k in kept if match(c, k)), None)
+        rep = next((k for k in kept if plain(c, k)), None)
         if rep is None:
             kept.append(c)
         g = groups.setdefault(rep or c, {})
         g[src[c]] = max(g.get(src[c], -1), score[c])
-    got = {r.cid: (round(r.score, 9), r.sources) for r in C.combine(scored, sets_of(spark, sets), 3, 0.5).collect()}
-    assert got == {k: (round(sum(g.values()) / 3, 9), ",".join(sorted(g))) for k, g in groups.items()}
+    return {k: (round(sum(g.values()) / n, 9), ",".join(sorted(g))) for k, g in groups.items()}
+
+
+@pytest.mark.parametrize("small", [None, "y"])
+def test_integrate_against_loops(spark, small):
+    rng = random.Random(7)
+    sets = random_sets(rng, 60)
+    src = {c: rng.choice("xyz") for c in sets}
+    score = {c: rng.choice([0.0, 0.00005, 0.00015, 0.3, 0.6, 0.9]) + rng.randrange(5) / 1000 * (rng.random() < 0.7) for c in sets}
+    factors = {"x": 1.0, "y": 0.5}
+    scored = spark.createDataFrame([(c, src[c], score[c]) for c in sets], "cid string, src string, score double")
+    kept = [c for c in sets if score[c] >= 1e-4 and (len(sets[c]) >= 4 or src[c] == small)]  # the floor is on the score as it came
+    weighed = {c: score[c] * factors.get(src[c], 1.0) for c in kept}
+    got = {r.cid: (round(r.score, 9), r.sources) for r in C.integrate(scored, sets_of(spark, sets), factors, 0.5, small_from=small).collect()}
+    assert got == expected_groups(sets, {c: src[c] for c in kept}, weighed, 1, 3)
+    assert (small is None) == all(len(sets[c]) >= 4 for c in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_readd_scored_against_loops(spark, seed):
+    rng = random.Random(seed)
+    rows, topo = random_edges(rng, 18, 0.5), random_edges(rng, 18, 0.5)
+    w, t = ({frozenset(x[:2]): x[2] for x in r} for r in (rows, topo))
+    names = sorted({x for r in (rows, topo) for u, v, _ in r for x in (u, v)})
+    hubs, rest = names[:6], names[6:]
+    sets = {f"c{i}": set(rng.sample(rest, rng.randrange(2, 5))) | set(rng.sample(hubs, i % 2)) for i in range(6)}
+    score = {c: rng.randrange(1, 10) / 10 for c in sets}
+    want = {}
+    for c, first in sets.items():
+        mean = lambda x, weight: sum(weight.get(frozenset((x, y)), 0) for y in first if frozenset((x, y)) in w) / len(first)  # noqa: E731, B023
+        now, s = set(first), score[c]
+        for h in sorted((h for h in hubs if h not in first), key=lambda h: (-mean(h, w), h)):
+            if mean(h, t) >= 0.25:
+                n = len(now)
+                s = (s * n * (n - 1) / 2 + mean(h, w) * n) / (n * (n + 1) / 2)
+                now.add(h)
+        want[c] = (frozenset(now), round(s, 9))
+    scored = spark.createDataFrame(list(score.items()), "cid string, score double")
+    back, rescored = C.readd_scored(scored, sets_of(spark, sets), spark.createDataFrame([(h,) for h in hubs], "node string"), edges_of(spark, rows), edges_of(spark, topo), 0.25)
+    got = {r.cid: [set(), round(r.score, 9)] for r in rescored.collect()}
+    for r in back.collect():
+        got[r.cid][0].add(r.node)
+    assert {c: (frozenset(m), s) for c, (m, s) in got.items()} == want
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
