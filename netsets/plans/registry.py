@@ -177,7 +177,11 @@ def top_without_hubs(spark, sf):
     return FL.drop_hub_edges(V.supp_net(spark, sf), 1000, 25)
 
 
-@query()
+@query("supp_net", """--ctes t AS (SELECT *, row_number() OVER (ORDER BY w DESC, u, v) AS r FROM (SELECT * FROM supp_net ORDER BY w DESC, u, v LIMIT 1000)),
+    walk AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS ends, []::BIGINT[] AS kept
+             UNION ALL SELECT t.r, CASE WHEN ok THEN ends || [u, v] ELSE ends END, CASE WHEN ok THEN list_append(kept, t.r) ELSE kept END
+             FROM (SELECT t.*, ends, kept, len(list_filter(ends, lambda x: x = u)) < 20 AND len(list_filter(ends, lambda x: x = v)) < 20 AS ok FROM walk JOIN t ON t.r = walk.r + 1) t)
+    SELECT u, v, w FROM t WHERE r IN (SELECT unnest(kept) FROM walk WHERE r = (SELECT max(r) FROM walk))""", recursive=True)
 def top_limited_degree(spark, sf):
     return FL.limit_degree(V.supp_net(spark, sf), 1000, 20)
 
@@ -341,7 +345,15 @@ def degree_histogram(spark, sf):
     return G.degree_histogram(V.net(spark, sf))
 
 
-@query()
+# nodes enter by rank; each takes the components of its earlier neighbours over, and the largest share of the nodes so far is compared with the one before
+@query("kept adj:kept deg:kept", """--ctes rk AS MATERIALIZED (SELECT node, degree, row_number() OVER (ORDER BY degree DESC, node) AS r FROM deg_kept),
+    back AS MATERIALIZED (SELECT a.r, list(b.r) FILTER (b.r < a.r) AS rs FROM rk a JOIN adj_kept ON src = a.node JOIN rk b ON b.node = dst GROUP BY 1),
+    walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS labels
+             UNION ALL SELECT back.r, list_append(list_transform(labels, lambda x: CASE WHEN list_contains(list_transform(coalesce(rs, []::BIGINT[]), lambda i: labels[i]), x) THEN back.r ELSE x END), back.r)
+             FROM walk JOIN back ON back.r = walk.r + 1),
+    one AS (SELECT r, unnest(labels) AS label FROM walk), share AS (SELECT r, max(n) / r::DOUBLE AS s FROM (SELECT r, label, count(*) AS n FROM one GROUP BY 1, 2) GROUP BY 1),
+    jump AS (SELECT r, s - coalesce(lag(s) OVER (ORDER BY r), 1.0) AS j FROM share), top AS (SELECT arg_max(r, (j, -r)) AS r, max(j) AS j FROM jump)
+    SELECT CASE WHEN j > 0 THEN top.r ELSE 0 END AS n_top, CASE WHEN j > 0 THEN degree ELSE 0 END AS threshold FROM top JOIN rk ON rk.r = top.r""", recursive=True)
 def hub_threshold(spark, sf):
     return P.hub_threshold(V.kept(spark, sf))
 
@@ -693,7 +705,9 @@ def separation(spark, sf):
     return rounded(M.separation(V.preds(spark, sf), V.refs(spark, sf)), "separation")
 
 
-@query()
+# a predicted set lies inside one reference here, so the best matching gives each reference its best prediction
+@query("ov refs", """SELECT round(sum(w), 6) AS total, (SELECT count(DISTINCT cid) FROM refs) AS n_refs, round(sum(w) / (SELECT count(DISTINCT cid) FROM refs), 6) AS ratio
+    FROM (SELECT b, max(both_n * both_n / (na * nb)::DOUBLE) AS w FROM ov WHERE both_n * both_n / (na * nb)::DOUBLE > 0.2 GROUP BY 1)""")
 def matching_ratio(spark, sf):
     return only(P.matching_ratio(V.preds(spark, sf), V.refs(spark, sf)), "total", "n_refs", "ratio")
 

@@ -1,4 +1,4 @@
-"""Every query with SQL gives what DuckDB gives on the smallest tables; the others run and have rows."""
+"""Every query with SQL gives what DuckDB gives on the smallest tables; test_unstated holds the others against plain definitions."""
 
 import os
 
@@ -27,8 +27,3 @@ def test_same_rows(spark, duck, name):
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})")
     assert sorted(duck.sql(ORACLES[name]).columns) == columns
     assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"pipeline_single", "pipeline_ensemble", "pipeline_integrated"}))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
