@@ -4,10 +4,11 @@ SimHash finds most of them: fingerprints of the shingles, linked within RADIUS b
 similarity. Fingerprints of two texts of similarity 4/5 differ in ten bits of 64 on average and in up to twenty, further than
 any radius that can be searched whole, so what lies beyond is found by shared shingles, and no pair is left to chance: in any one order of
 all shingles, two sets that are similar enough share one of their first |x| - ceil(4/5 |x|) + 1 shingles, so texts meet in a bucket for
-each of these. Texts that are linked already need no comparison; lengths and places rule most others out, and the rest are compared set
-by set. The order is by hash, with shingles common in a sample last: the sample changes the cost, never the pairs. Large buckets compare
-all members with a few roots a round, and go on only while they hold more than one component, so a large group of near copies costs
-a row a member. Texts with equal sets are one node throughout.
+each of these. Texts that are linked already need no comparison; lengths, places and bitmaps of the sets rule most others out (two sets
+differ in at least as many shingles as their bitmaps in bits), and the rest are compared set by set. The order is by hash, with shingles
+common in a sample last: the sample changes the cost, never the pairs. Large buckets compare all members with a few roots a round, and
+go on only while they hold more than one component, so a large group of near copies costs a row a member; buckets that the sample
+shows to be very large are first dealt over several tasks, each with a root of its own. Texts with equal sets are one node throughout.
 
 Defined cases: words are as in `simhash`; a text shorter than a shingle is one shingle; texts without words are equal; null text counts
 as empty; rows with the same id are one node; a null id takes part, and its component_id is the smallest id that is not null, or
@@ -41,8 +42,10 @@ SMALL = 8
 SAMPLE_ROWS, COMMON_FROM, MOST_COMMON = 4000, 3, 10_000
 #: Thin rows (two numbers, or a number and a digest) that are sent to every task rather than shuffled, after counting them.
 BROADCAST_ROWS = 200_000
-#: Texts that one task compares with the same text.
-SHARE = 2000
+#: Texts that one task compares with the same text, and rows of one bucket that one task is expected to get in the first round.
+SHARE, SHARD_ROWS = 2000, 1000
+#: Least bits of a set's bitmap; larger sets have more, two a member at least.
+LEAST_BITS = 512
 #: Odd multipliers that mix the words of a shingle, and its hash.
 MIX, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -76,8 +79,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return (PART + WHOLE) * shared >= PART * (len(x) + len(y))
 
 
-def _common(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of shingles that many rows of a sample have, sorted."""
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Hashes of shingles that many rows of a sample have, sorted; and of the very common among them, (hash, shards for its bucket)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -88,18 +91,41 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
         return step
 
     rows = docs.count()
-    sample = docs.sample(SAMPLE_ROWS / rows, 1) if rows > SAMPLE_ROWS else docs
+    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    sample = docs.sample(share, 1) if share < 1 else docs
     counts = map_batches(sample.select("text"), make, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM)
-    top = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
-    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    hashes, seen = (top.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    shards = np.ceil(seen / share / SHARD_ROWS).astype(int)
+    return np.sort(hashes.view(np.uint64)), [(int(h), int(n)) for h, n in zip(hashes, shards, strict=True) if n > 1]
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Which places the set's hashes fall on, of a power of two of them."""
+    bits = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length())
+    place = np.zeros(bits, bool)
+    place[hashes % np.uint64(bits)] = True
+    return np.packbits(place, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Members in which the sets of two bitmaps differ, at least; the longer bitmap is folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    wide, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        wide = wide >> bits | wide & (1 << bits) - 1
+    return (wide ^ int.from_bytes(y, "little")).bit_count()
 
 
 def _rows(docs: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
-    """doc_id, same (digest of the set), digest (of the text), size, fp (fingerprint), first (the shingles in which it meets others) for every row."""
+    """doc_id, same (digest of the set), digest (of the text), size, fp (fingerprint), bits (bitmap), first (the shingles in which it meets
+    others) for every row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            same, size, fp, first = [], [], [], []
+            same, size, fp, bits, first = [], [], [], [], []
             for x in batch.column(1).cast(pa.binary()):
                 every = hashes_of(x.as_py(), shingle)
                 hashes = np.unique(every)
@@ -109,28 +135,32 @@ def _rows(docs: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
                 same.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 size.append(n)
                 fp.append(majority(hashes))  # of the set, so that texts with equal sets have one fingerprint
+                bits.append(bitmap(hashes))
                 first.append(np.concatenate([hashes[~late], hashes[late]])[: n + PART * -n // WHOLE + 1].view(np.int64))
             fps = np.array(fp, np.uint64).view(np.int64)
-            cols = [batch.column(0), pa.array(same, pa.binary()), batch.column(2), pa.array(size, pa.int64()), pa.array(fps), pa.array(first, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "same", "digest", "size", "fp", "first"])
+            cols = [batch.column(0), pa.array(same, pa.binary()), batch.column(2), pa.array(size, pa.int64()), pa.array(fps), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "same", "digest", "size", "fp", "bits", "first"])
 
         return step
 
-    return map_batches(docs.select("doc_id", "text", "digest"), make, "doc_id long, same binary, digest binary, size long, fp long, first array<long>")
+    return map_batches(docs.select("doc_id", "text", "digest"), make, "doc_id long, same binary, digest binary, size long, fp long, bits binary, first array<long>")
 
 
-def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """rows (h, node, at, root) -> pairs (other, node) to compare, with h null, and the rows of buckets that need another round.
+def _met(rows: DataFrame, low: int, high: int, first: bool) -> DataFrame:
+    """rows (h, shard, node, at, root) -> pairs (other, node) to compare, with h null, and the rows of buckets that need another round.
 
-    `at` holds the set's size and the shingle's place in it, 32 bits each."""
+    `at` holds the set's size and the shingle's place in it, 32 bits each. In the first round small buckets compare all pairs, and large ones
+    and shards of larger ones all rows with their first; in the others, rows meet the roots from `low` up to `high`."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("h", "node", "at", "root").repartition(parts, "h").sortWithinPartitions("h", "node")
+    dealt = rows.select("h", "shard", "node", "at", "root")
+    # a shard of -1 is a whole bucket
+    dealt = dealt.repartition(parts, "h", "shard").sortWithinPartitions("h", "shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, n = None, [], 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
-                waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+                waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
                 n += batch.num_rows
             if batch is not None and n < COMPARE_AT_ONCE:
                 continue
@@ -138,37 +168,36 @@ def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
                 break
             cols = [np.concatenate(x) for x in zip(*([held] if held is not None else []), *waiting, strict=True)]
             waiting, n = [], 0
-            whole = int(np.argmax(cols[0] == cols[0][-1]))  # the last bucket may go on in the next batch
+            whole = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))  # the last bucket may go on in the next batch
             held = [c[whole:] for c in cols]
             yield from buckets([c[:whole] for c in cols])
         if held is not None:
             yield from buckets(held)
 
     def buckets(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, node, packed, root = cols
-        if len(h) < 2:
+        h, shard, node, packed, root = cols
+        if not len(h):
             return
         size, place = packed >> 32, packed & 0xFFFFFFFF
-        new = np.r_[True, h[1:] != h[:-1]]
+        new = np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
         group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
         many = np.diff(np.r_[begin, len(h)])
         mixed = np.maximum.reduceat(root, begin) != np.minimum.reduceat(root, begin)
         open_rows = np.flatnonzero(mixed[group])
-        rank, large = np.arange(len(h)) - begin[group], many[group] > SMALL
+        rank, large = np.arange(len(h)) - begin[group], (many[group] > SMALL) | (shard >= 0)
         for k in range(low, high):
             at = open_rows[rank[open_rows] > k]
             if not len(at):
                 break
-            if not low:  # the first round: root k of small buckets, root 0 of the others
-                at = at[~large[at]] if k else at
+            if first and k:
+                at = at[~large[at]]
             other = begin[group[at]] + k
             x, y = size[at], size[other]
             left = np.minimum(x - place[at], y - place[other])  # most that they can share if this is the first shared one
             ok = (root[at] != root[other]) & ((PART + WHOLE) * left >= PART * (x + y))
             if ok.any():
                 yield made(None, node[at][ok], node[other][ok])
-        # of the large buckets, root 0 is done after the first round
-        again = open_rows[large[open_rows] & (many[group[open_rows]] > (high if low else 1))]
+        again = np.flatnonzero((shard >= 0) | mixed[group] & large) if first else open_rows[many[group[open_rows]] > high]
         if len(again):
             yield made(h[again], node[again], None, packed[again])
 
@@ -184,18 +213,36 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """node, text of the nodes in wanted(node). A node's text is that of the one row with its digest and id; only if rows are
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose bitmaps leave room for the similarity."""
+    pairs = cut(pairs.where("a <> b").select("a", "b").distinct())
+    a, b = (nodes.select(F.col("node").alias(f"n{c}"), F.col("size").alias(f"s{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    both = b.join(_small(pairs, pairs.count()), F.col("nb") == F.col("b")).join(a, F.col("na") == F.col("a"))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = size * (WHOLE - PART) // (WHOLE + PART)
+            keep = [apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(4), batch.column(5), most.tolist(), strict=True)]
+            return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+        return step
+
+    return cut(map_batches(both.select("a", "b", "sa", "sb", "bitsa", "bitsb"), make, "a long, b long"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """node, text of the nodes in pairs(a, b). A node's text is that of the one row with its digest and id; only if rows are
     `repeated` is there more than one of it."""
-    wanted = cut(nodes.select("node", F.col("digest").alias("d"), F.col("own").alias("o")).join(wanted.distinct(), "node"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(nodes.select("node", F.col("digest").alias("d"), F.col("own").alias("o")).join(wanted, "node"))
     found = docs.join(_small(wanted, wanted.count()), F.expr("digest = d and doc_id <=> o")).select("node", "text")
-    return found.groupBy("node").agg(F.first("text").alias("text")) if repeated else found
+    return cut(found.groupBy("node").agg(F.first("text").alias("text")) if repeated else found)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough. Each a is read once before the texts it is compared with, at most some SHARE in
     a task."""
-    pairs = cut(pairs.where("a <> b").select("a", "b").distinct())
     rows = pairs.count()
     many = cut(pairs.groupBy("a").count().where(F.col("count") > SHARE).select("a", F.ceil(F.col("count") / SHARE).alias("shares")))
     # fewer than rows / SHARE of them
@@ -229,22 +276,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     docs = docs.withColumn("digest", F.unhex(F.md5("text")))
     small_batches(docs.sparkSession)
-    rows = _rows(docs, _common(docs, shingle), shingle).withColumn("node", F.monotonically_increasing_id())
-    rows = cut(rows)
+    common, hot = _common(docs, shingle)
+    rows = cut(_rows(docs, common, shingle).withColumn("node", F.monotonically_increasing_id()))
     repeated = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
     # of the rows with one set, one stands for all
-    one = F.min(F.struct("digest", F.col("doc_id").alias("own"), "node", "size", "fp")).alias("of")
-    nodes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("least"), one).select("same", "least", "of.*"))
-    named = cut(rows.select("doc_id", "same", F.col("node").alias("row")).join(nodes.select("same", "node"), "same").select("doc_id", "row", "node"))
-    others = named.where("row <> node").select(F.col("row").alias("node"))
-    firsts = rows.select("node", "size", "first").join(_small(others, others.count()), "node", "left_anti")
+    one = F.min(F.struct("digest", F.col("doc_id").alias("own"), "node")).alias("of")
+    named = cut(rows.groupBy("same").agg(F.min("doc_id").alias("least"), one).select("same", "least", "of.*"))
+    of_rows = rows.select("doc_id", F.col("node").alias("row"), "same").join(named.select("same", "node"), "same")
+    of_rows = cut(of_rows.select("doc_id", "row", "node"))
+    others = of_rows.where("row <> node").select(F.col("row").alias("node"))
+    firsts = rows.drop("same", "digest", "doc_id").join(_small(others, others.count()), "node", "left_anti")
+    nodes = cut(firsts.drop("first").join(named.select("node", "least", "digest", "own"), "node"))
 
     # by fingerprint: of each class one node stands for all, and classes within the radius are linked
     classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     twins = nodes.join(classes, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = cut(twins.where("a <> b").unionByName(near_links(classes, RADIUS).select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    texts = _texts(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), repeated)
-    links = [cut(_compared(pairs, texts, shingle))]
+    pairs = _possible(twins.unionByName(near_links(classes, RADIUS).select(F.col("b").alias("a"), F.col("a").alias("b"))), nodes)
+    links = [cut(_compared(pairs, _texts(docs, nodes, pairs, repeated), shingle))]
     roots = components(links[0])
 
     # by shared shingles: all that is left
@@ -252,13 +300,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = firsts.join(own, F.col("node") == F.col("n"), "left").select("node", "size", "first", F.coalesce("root", "node").alias("root"))
     bucket = rooted.select(F.posexplode("first").alias("place", "h"), "node", "root", "size")
     bucket = bucket.select("h", "node", "root", F.shiftleft("size", 32).bitwiseOR(F.col("place")).alias("at"))
-    low, high, texts = 0, SMALL, None
+    # at most MOST_COMMON rows
+    shards = F.broadcast(docs.sparkSession.createDataFrame(hot, "h long, shards long"))
+    bucket = bucket.join(shards, "h", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("node"), "shards"), F.lit(-1).cast("long")))
+    low, high, first = 0, SMALL, True
     while True:
-        met = cut(_met(bucket, low, high))
-        pairs = met.where("h is null").select(F.col("other").alias("a"), F.col("node").alias("b"))
-        if texts is None:  # of those that meet now or later
-            texts = cut(_texts(docs, nodes, met.select(F.explode(F.array("node", "other")).alias("node")).where("node is not null"), repeated))
-        new = cut(_compared(pairs, texts, shingle))
+        met = cut(_met(bucket, low, high, first))
+        pairs = _possible(met.where("h is null").select(F.col("other").alias("a"), F.col("node").alias("b")), nodes)
+        new = cut(_compared(pairs, _texts(docs, nodes, pairs, repeated), shingle))
         if not new.isEmpty():
             links.append(new)
             roots = components(reduce(DataFrame.unionByName, links))
@@ -266,12 +315,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if left.isEmpty():
             break
         own = roots.select(F.col("node").alias("n"), "root")
-        bucket = left.join(own, F.col("node") == F.col("n"), "left").select("h", "node", "at", F.coalesce("root", "node").alias("root"))
-        low, high = (high, high * 64) if low else (1, 64)
+        left = cut(left.join(own, F.col("node") == F.col("n"), "left").select("h", "node", "at", F.coalesce("root", "node").alias("root")))
+        # buckets of one component are done
+        several = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        bucket = left.join(several, "h", "left_semi").withColumn("shard", F.lit(-1).cast("long"))
+        low, high, first = (0, 64, False) if first else (high, high * 64, False)
+    named = of_rows.select("doc_id", "node")
     least = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     by_id = cut(named.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"))
     if not by_id.isEmpty():
         roots = components(reduce(DataFrame.unionByName, [*links, by_id]))
     rooted = cut(nodes.select("node", "least").join(roots.select("node", "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select("doc_id", "node").join(rooted.select("node", "root"), "node").join(smallest, "root").select("doc_id", "component_id")
+    return named.join(rooted.select("node", "root"), "node").join(smallest, "root").select("doc_id", "component_id")

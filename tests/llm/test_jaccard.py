@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -50,18 +51,22 @@ def made(rng):
     return [(1000 - i, t) for i, t in enumerate(texts)] + [(7, "repeated id one"), (7, "repeated id two"), (None, "no id"), (None, texts[0])]
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, shard", [(8, 1000), (1, 1000), (8, 2)])
+def test_against_brute_force(spark, monkeypatch, small, shard):
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SHARD_ROWS", shard)
     monkeypatch.setattr(jaccard, "SAMPLE_ROWS", 100)
-    rows = made(random.Random(small))
+    rows = made(random.Random(small + shard))
     docs = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, node long, h long").repartition(3)
     assert Counter(map(tuple, near_copies(docs).collect())) == Counter(slow_roots(rows))
     assert near_copies(docs.limit(0)).collect() == []
 
 
-def test_large_group(spark):
+@pytest.mark.parametrize("shard", [1000, 20])
+def test_large_group(spark, monkeypatch, shard):
     """A group of near copies, among them chains, and as many texts with one long passage of it."""
+    monkeypatch.setattr(jaccard, "SHARD_ROWS", shard)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10 if shard == 20 else 200_000)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = [(i, " ".join(base[:60] + [f"x{i}"] + base[61:])) for i in range(150)]
@@ -77,3 +82,16 @@ def test_stage_keeps_no_near_copy(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect()) == [i for i, c in slow_roots(rows) if i == c]
+
+
+def test_bitmaps_never_rule_a_similar_pair_out():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.choice([1, 5, 60, 400, 3000])
+        x = np.unique(np.array(rng.sample(range(1 << 62), n), np.uint64))
+        y = np.unique(np.concatenate([x[rng.randrange(max(1, n // 5)) :], np.array(rng.sample(range(1 << 62), rng.randrange(n // 5 + 1)), np.uint64)]))
+        exact = len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+        assert jaccard.apart(jaccard.bitmap(x), jaccard.bitmap(y)) <= exact
+        other = np.array(rng.sample(range(1 << 62), max(20, n)), np.uint64)
+        if n >= 60:
+            assert jaccard.apart(jaccard.bitmap(x), jaccard.bitmap(other)) > (len(x) + len(other)) / 9
