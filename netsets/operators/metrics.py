@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from netsets.functions.sets import bader, f2_score, f_score, jaccard, size_aware_match
 from netsets.operators.clusters import overlaps, sizes
+from netsets.operators.running import running
+from netsets.plans.lineage import cut
 
 
 def _score(f):
@@ -54,17 +56,17 @@ def pr_curve(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, threshold
 
 def _points(steps: DataFrame, n_refs: DataFrame, by: list[str]) -> DataFrame:
     """steps (score, new_preds, new_refs, new_correct), a row per distinct score -> the recorded points of the curve."""
-    upto = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.join(F.broadcast(n_refs)).select(
-        *by, "score", F.sum("new_preds").over(upto).alias("n_preds"), F.sum("new_correct").over(upto).alias("n_correct"), (F.sum("new_refs").over(upto) / F.col("n_refs")).alias("recall")
-    )
+    whole = cut(steps.groupBy(*by).agg(F.sum("new_preds").alias("all_preds")))
+    run = running(steps, by, "score", STEPS).join(F.broadcast(n_refs))
+    # a row per group
+    run = run.join(F.broadcast(whole), by) if by else run.join(F.broadcast(whole))
     edges = F.array(*[F.lit(x) for x in _accumulated()])
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("recall")))
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    marked = run.withColumn("bucket", bucket)
-    marked = marked.withColumn("enters", (F.col("bucket") > 0) & (F.col("bucket") > F.coalesce(F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    marked = marked.withColumn("last", F.lead("score").over(order).isNull())
-    return marked.where("enters or last").select(*by, F.col("score").alias("threshold"), "n_preds", (F.col("n_correct") / F.col("n_preds")).alias("precision"), "recall")
+    bucket = lambda refs: F.size(F.filter(edges, lambda e: e <= refs / F.col("n_refs")))
+    # recall never falls, so the highest step before is that of the point before
+    enters = bucket(F.col("through_new_refs")) > bucket(F.col("through_new_refs") - F.col("new_refs"))
+    kept = run.where(enters | (F.col("through_new_preds") == F.col("all_preds")))
+    precision, recall = F.col("through_new_correct") / F.col("through_new_preds"), F.col("through_new_refs") / F.col("n_refs")
+    return kept.select(*by, F.col("score").alias("threshold"), F.col("through_new_preds").alias("n_preds"), precision.alias("precision"), recall.alias("recall"))
 
 
 def auc_pr(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -119,8 +121,7 @@ def cross_validated(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xv
     steps = _xval_steps(scored, preds_x, refs_x, xval, threshold)
     n_refs = xval.groupBy("iteration").agg(F.count(F.lit(1)).alias("n_refs"))
     # a row per iteration
-    run = steps.join(F.broadcast(n_refs), "iteration")
-    return run.select("iteration", *_running(Window.partitionBy("iteration").orderBy(F.desc("score"))))
+    return _curve(running(steps, ["iteration"], "score", STEPS).join(F.broadcast(n_refs), "iteration"), ["iteration"])
 
 
 def _xval_steps(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float) -> DataFrame:
@@ -144,14 +145,16 @@ def pooled_cross_validated(scored: DataFrame, preds_x: DataFrame, refs_x: DataFr
     """threshold, n_preds, precision, recall of all iterations in one list: a reference counts once for each iteration that tests it."""
     steps = _xval_steps(scored, preds_x, refs_x, xval, threshold)
     steps = steps.groupBy("score").agg(*[F.sum(c).alias(c) for c in ("new_preds", "new_correct", "new_refs")])
-    run = steps.join(F.broadcast(xval.agg(F.count(F.lit(1)).alias("n_refs"))))
-    return run.select(*_running(Window.orderBy(F.desc("score"))))
+    return _curve(running(steps, [], "score", STEPS).join(F.broadcast(xval.agg(F.count(F.lit(1)).alias("n_refs")))), [])
 
 
-def _running(order) -> list:
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    preds = F.sum("new_preds").over(upto)
-    return [F.col("score").alias("threshold"), preds.alias("n_preds"), (F.sum("new_correct").over(upto) / preds).alias("precision"), (F.sum("new_refs").over(upto) / F.col("n_refs")).alias("recall")]
+#: What a distinct score adds to a curve.
+STEPS = ["new_preds", "new_correct", "new_refs"]
+
+
+def _curve(run: DataFrame, by: list[str]) -> DataFrame:
+    preds, correct, refs = (F.col(f"through_{c}") for c in STEPS)
+    return run.select(*by, F.col("score").alias("threshold"), preds.alias("n_preds"), (correct / preds).alias("precision"), (refs / F.col("n_refs")).alias("recall"))
 
 
 def reference_match_rate(preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -164,19 +167,15 @@ def reference_match_rate(preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame,
 
 def edge_curve(scored_edges: DataFrame) -> DataFrame:
     """scored_edges(score, positive boolean) -> auc_pr, auc_roc over distinct scores: trapezoids in the false positive rate, steps in recall."""
-    # distinct scores are far fewer than edges; their running totals are one ordered pass
-    steps = scored_edges.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("tp"))
-    order = Window.orderBy(F.desc("score"))
-    upto, every = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    pos, neg = F.sum("tp").over(every), F.sum(F.col("n") - F.col("tp")).over(every)
-    run = steps.select(
-        "score", (F.sum("tp").over(upto) / pos).alias("recall"), (F.sum("tp").over(upto) / F.sum("n").over(upto)).alias("precision"), (F.sum(F.col("n") - F.col("tp")).over(upto) / neg).alias("fpr")
-    )
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    width = F.col("fpr") - F.coalesce(F.lag("fpr").over(order), F.lit(0.0))
-    before = F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    parts = run.select((gain * F.col("precision")).alias("pr"), (width * (F.col("recall") + before) / 2).alias("roc"))
-    return parts.agg(F.sum("pr").alias("auc_pr"), F.sum("roc").alias("auc_roc"))
+    positive = F.col("positive").cast("long")
+    steps = scored_edges.groupBy("score").agg(F.sum(positive).alias("tp"), F.sum(1 - positive).alias("fp"))
+    whole = cut(steps.agg(F.sum("tp").alias("pos"), F.sum("fp").alias("neg")))
+    run = running(steps, [], "score", ["tp", "fp"]).join(F.broadcast(whole))
+    tp, fp = F.col("through_tp"), F.col("through_fp")
+    pos, neg = (F.nullif(F.col(c), F.lit(0)) for c in ("pos", "neg"))
+    pr = F.col("tp") / pos * tp / (tp + fp)
+    roc = F.col("fp") / neg * (tp + tp - F.col("tp")) / pos / 2
+    return run.agg(F.sum(pr).alias("auc_pr"), F.sum(roc).alias("auc_roc"))
 
 
 def roll_up(metrics: DataFrame, by: list[str]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsets.operators.graph import canonical
+from netsets.operators.running import numbered, under_headers
 
 #: Lines of one file in order: Spark reads a file's text in order within a partition, and partitions of one file in order.
 LINE = "line"
@@ -50,11 +53,10 @@ def read_composite(spark: SparkSession, path: str, feature: str) -> DataFrame:
 
 def read_sets(spark: SparkSession, path: str, upper: bool = False, least: int = 1) -> DataFrame:
     """cid, node: one set a line, numbered from 1 in file order, members once each."""
-    rows = lines(spark, path)
     line = F.upper(LINE) if upper else F.col(LINE)
-    numbered = rows.select(line.alias(LINE), F.row_number().over(Window.orderBy("at")).cast("string").alias("cid"))
+    rows = numbered(lines(spark, path)).select(line.alias(LINE), F.col("n").cast("string").alias("cid"))
     members = F.array_distinct(_fields(F.col(LINE)))
-    return numbered.where(F.size(members) >= least).select("cid", F.explode(members).alias("node"))
+    return rows.where(F.size(members) >= least).select("cid", F.explode(members).alias("node"))
 
 
 def read_long_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -77,8 +79,8 @@ def parse_scored_sets(rows: DataFrame) -> DataFrame:
     body = F.regexp_extract(LINE, r"\)\s*:\s*(.*)$", 1)
     sources = F.regexp_extract(head, r"\|([^|]*)\|$", 1)
     name = F.regexp_extract(head, r"^([^|]*)", 1)
-    number = F.row_number().over(Window.orderBy("at")).cast("string")
-    out = rows.where(F.col(LINE).contains("(")).select(F.when(name != "", name).otherwise(number).alias("cid"), score.alias("score"), sources.alias("sources"), _fields(body).alias("m"))
+    kept = numbered(rows.where(F.col(LINE).contains("(")))
+    out = kept.select(F.when(name != "", name).otherwise(F.col("n").cast("string")).alias("cid"), score.alias("score"), sources.alias("sources"), _fields(body).alias("m"))
     return out.select("cid", "score", "sources", F.posexplode("m").alias("pos", "node"))
 
 
@@ -106,7 +108,30 @@ def write_sets(sets_x: DataFrame, path: str) -> None:
 
 
 def append_metrics(row: DataFrame, path: str) -> None:
-    row.write.mode("append").option("header", True).csv(path)
+    """Appends rows; the column names come as one file of their own, written when the path has none yet, and sort before all rows."""
+    spark = row.sparkSession
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        with_names = fs.create(jvm.org.apache.hadoop.fs.Path(where, "header.csv"))
+        with_names.write(bytearray((",".join(row.columns) + "\n").encode()))
+        with_names.close()
+    row.write.mode("append").option("header", False).csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What append_metrics wrote, all columns as text."""
+    names = spark.read.text(f"{path.rstrip('/')}/header.csv").first()[0].split(",")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.schema(schema).option("pathGlobFilter", "part-*").csv(path)
+
+
+def read_iterations(spark: SparkSession, base: str, iterations: int, suffix: str = ".txt") -> DataFrame:
+    """iteration, cid, score, sources, pos, node of the scored sets in `<base> iter<N><suffix>`, N from 0."""
+    read = [read_scored_sets(spark, f"{base} iter{i}{suffix}").select(F.lit(i).alias("iteration"), "*") for i in range(iterations)]
+    return reduce(DataFrame.unionByName, read)
 
 
 def read_mapping(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
@@ -130,8 +155,8 @@ def distinct_ids(pairs: DataFrame) -> DataFrame:
 def project_columns(spark: SparkSession, path: str, columns: list[int], by: str = r"\t", skip: int | None = None) -> DataFrame:
     """value: the given fields of each line; `skip` leaves out the line with that number, from 0."""
     f = _fields(F.col(LINE), by)
-    rows = lines(spark, path).withColumn("n", F.row_number().over(Window.orderBy("at")) - 1)
-    kept = rows.where(F.col("n") != skip) if skip is not None else rows
+    rows = lines(spark, path)
+    kept = numbered(rows).where(F.col("n") != skip + 1) if skip is not None else rows
     return kept.select(F.concat_ws(" ", *[f[c] for c in columns]).alias("value"))
 
 
@@ -142,23 +167,17 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(get(0).alias("u"), get(1).alias("v"), get(2).alias("subtype"), F.nullif(get(3), F.lit("")).cast("double").alias("score"))
 
 
-def _running_header(rows: DataFrame, is_header: Column, value: Column) -> DataFrame:
-    """rows with `head`: the value of the last header line above each."""
-    head = F.last(F.when(is_header, value), ignorenulls=True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("head", head).where(~is_header)
-
-
 def read_cross_validation(spark: SparkSession, path: str) -> DataFrame:
     """iteration, cid: lines `iter N`, each followed by the ids that it tests."""
     f = _fields(F.col(LINE))
-    rows = _running_header(lines(spark, path), f[0] == "iter", f[1].cast("int"))
+    rows = under_headers(lines(spark, path), f[0] == "iter", f[1].cast("int"))
     return rows.select(F.col("head").alias("iteration"), F.col(LINE).alias("cid"))
 
 
 def read_hubs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(node, degree) and (u, v, w) of a file with the sections `hubs` and `edges`."""
     f = _fields(F.col(LINE))
-    rows = _running_header(lines(spark, path), F.col(LINE).isin("hubs", "edges"), F.col(LINE))
+    rows = under_headers(lines(spark, path), F.col(LINE).isin("hubs", "edges"), F.col(LINE))
     hubs = rows.where("head = 'hubs'").select(f[0].alias("node"), f[1].cast("long").alias("degree"))
     ends = F.split(f[0], r"\|")
     return hubs, rows.where("head = 'edges'").select(ends[0].alias("u"), ends[1].alias("v"), f[1].cast("double").alias("w"))
@@ -178,11 +197,12 @@ def read_line_clusters(spark: SparkSession, path: str, least: int = 2) -> DataFr
 
 
 def read_block_clusters(spark: SparkSession, path: str, header: str = r"^Complex\b", skip: str = r"^(Core|Attachments?)\b:?", least: int = 2) -> DataFrame:
-    """cid, node of programs that print blocks: a header line, then members, perhaps behind words that name their part."""
+    """cid, node of programs that print blocks: a header line, then members, perhaps behind words that name their part. Blocks are
+    numbered from 1; members before the first header are set 0."""
     is_head = F.col(LINE).rlike(header)
     rows = lines(spark, path)
-    block = F.sum(is_head.cast("int")).over(Window.orderBy("at"))
-    kept = rows.withColumn("cid", block.cast("string")).where(~is_head)
+    blocks = numbered(rows.where(is_head)).select(F.col("at").alias("head_at"), F.col("n").cast("string").alias("cid"))
+    kept = under_headers(rows, is_head, F.col(LINE)).join(blocks, "head_at", "left").withColumn("cid", F.coalesce("cid", F.lit("0")))
     members = kept.select("cid", F.explode(_fields(F.regexp_replace(LINE, skip, ""))).alias("node")).where("node <> ''").distinct()
     size = members.groupBy("cid").count().where(F.col("count") >= least).select("cid")
     return members.join(size, "cid", "left_semi")

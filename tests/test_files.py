@@ -76,6 +76,33 @@ def test_tables(spark, tmp_path):
     assert read_back(tmp_path / "arff") == ["@relation edges", "@attribute A numeric", "@attribute B numeric", "@attribute cls {0,1}", "@data", "0.1,0.0,0", "0.5,1.0,1"]
     R.append_metrics(wide.limit(1), str(tmp_path / "m"))
     R.append_metrics(wide.limit(1), str(tmp_path / "m"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 2
+    assert rows(R.read_metrics(spark, str(tmp_path / "m"))) == [("0.5", "1.0", "1")] * 2
+    assert (tmp_path / "m" / "header.csv").read_text() == "A,B,cls\n" and sum("A,B" in line for line in read_back(tmp_path / "m")) == 0
     R.write_table(wide, str(tmp_path / "t"))
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "t")).count() == 2
+
+
+def test_iterations(spark, tmp_path):
+    put(tmp_path, "found iter0.txt", "(2_0.5): a b\n")
+    put(tmp_path, "found iter1.txt", "(3_0.25): a b c\n(2_0.1): d e\n")
+    got = R.read_iterations(spark, str(tmp_path / "found"), 2)
+    assert sorted((r.iteration, r.cid, r.score, r.node) for r in got.collect()) == [(0, "1", 0.5, "a"), (0, "1", 0.5, "b"), *[(1, "1", 0.25, x) for x in "abc"], (1, "2", 0.1, "d"), (1, "2", 0.1, "e")]
+
+
+def test_lines_over_many_partitions(spark, tmp_path):
+    """Files of several blocks: numbers and headers go on from one partition to the next."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        names = [f"n{i:04d}" for i in range(300)]
+        p = put(tmp_path, "s.txt", "\n".join(names))
+        assert R.lines(spark, p).rdd.getNumPartitions() > 5
+        assert {(r.cid, r.node) for r in R.read_sets(spark, p).collect()} == {(str(i + 1), n) for i, n in enumerate(names)}
+        x = put(tmp_path, "x.txt", "".join(f"iter\t{i}\n" + "".join(f"{j}\n" for j in range(i * 7 % 60)) for i in range(25)))
+        assert sorted((r.iteration, int(r.cid)) for r in R.read_cross_validation(spark, x).collect()) == sorted((i, j) for i in range(25) for j in range(i * 7 % 60))
+        b = put(tmp_path, "b.txt", "".join(f"Complex {i}\n" + "".join(f"m{i}-{j}\n" for j in range(2 + i)) for i in range(30)))
+        assert {(r.cid, r.node) for r in R.read_block_clusters(spark, b).collect()} == {(str(i + 1), f"m{i}-{j}") for i in range(30) for j in range(2 + i)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
