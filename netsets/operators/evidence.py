@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsets.operators.graph import adjacency, triangles
 from netsets.operators.kernels import mdl_cuts, pool_ratios
-from netsets.plans.lineage import cut
+from netsets.plans.lineage import cut, small
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def histogram(evidence: DataFrame, labels: DataFrame, implicit_zeros: bool = Fal
         return rows
     totals = labels.groupBy("cls").agg(F.count(F.lit(1)).alias("total"))
     present = rows.groupBy("subtype", "cls").agg(F.sum("n").alias("present"))
-    every = rows.select("subtype").distinct().crossJoin(F.broadcast(totals)).join(present, ["subtype", "cls"], "left")
+    every = rows.select("subtype").distinct().crossJoin(small(totals)).join(present, ["subtype", "cls"], "left")
     missing = every.select("subtype", F.lit(0.0).alias("value"), "cls", (F.col("total") - F.coalesce("present", F.lit(0))).alias("n")).where("n > 0")
     return rows.unionByName(missing).groupBy("subtype", "value", "cls").agg(F.sum("n").alias("n"))
 
@@ -93,8 +93,7 @@ def select_features(evidence: DataFrame, labels: DataFrame, alpha: float = 1.0)
 def apply_cuts(evidence: DataFrame, cuts: DataFrame, no_cut_shift: bool = False) -> DataFrame:
     """u, v, subtype, bin: how many cuts lie below the score. no_cut_shift treats `no cut` as a cut at -1, as the published tables do."""
     c = F.when(F.size("cuts") == 0, F.array(F.lit(-1.0))).otherwise(F.col("cuts")) if no_cut_shift else F.col("cuts")
-    # a row per subtype
-    return evidence.join(F.broadcast(cuts), "subtype").select("u", "v", "subtype", F.size(F.filter(c, lambda x: x < F.col("score"))).alias("bin"))
+    return evidence.join(small(cuts), "subtype").select("u", "v", "subtype", F.size(F.filter(c, lambda x: x < F.col("score"))).alias("bin"))
 
 
 def likelihoods(binned: DataFrame, labels: DataFrame, cumulative: bool = False, shared_totals: bool = False) -> DataFrame:
@@ -103,13 +102,13 @@ def likelihoods(binned: DataFrame, labels: DataFrame, cumulative: bool = False,
     counts = binned.join(labels, ["u", "v"]).groupBy("subtype", "bin", "cls").agg(F.count(F.lit(1)).alias("n"))
     classes = cut(labels.groupBy("cls").agg(F.count(F.lit(1)).alias("total")))
     cells = cut(binned.select("subtype", "bin").distinct())
-    grid = cells.crossJoin(F.broadcast(classes)).join(counts, ["subtype", "bin", "cls"], "left").na.fill(0, ["n"])
+    grid = cells.crossJoin(small(classes)).join(counts, ["subtype", "bin", "cls"], "left").na.fill(0, ["n"])
     if cumulative:
         grid = grid.withColumn("n", F.sum("n").over(Window.partitionBy("subtype", "cls").orderBy(F.desc("bin"))))
     bins = cells.groupBy("subtype").agg(F.count(F.lit(1)).alias("bins"))
     if shared_totals:
         bins = bins.withColumn("bins", F.sum("bins").over(Window.partitionBy()))
-    return grid.join(F.broadcast(bins), "subtype").select("subtype", "bin", "cls", ((F.col("n") + 1) / (F.col("total") + F.col("bins"))).alias("likelihood"))
+    return grid.join(small(bins), "subtype").select("subtype", "bin", "cls", ((F.col("n") + 1) / (F.col("total") + F.col("bins"))).alias("likelihood"))
 
 
 def smooth(table: DataFrame) -> DataFrame:
@@ -128,9 +127,8 @@ def smooth(table: DataFrame) -> DataFrame:
 
 def posteriors(binned: DataFrame, table: DataFrame, priors: DataFrame, damp: float = 1.0) -> DataFrame:
     """u, v, cls, p: naive Bayes over an edge's subtypes; any number of classes. priors(cls, prior); damp is an exponent of the likelihoods."""
-    # the table has a row per subtype, bin and class
-    logs = binned.join(F.broadcast(table), ["subtype", "bin"]).groupBy("u", "v", "cls").agg((F.sum(F.log("likelihood")) * damp).alias("l"))
-    scored = logs.join(F.broadcast(priors), "cls").withColumn("l", F.col("l") + F.log("prior"))
+    logs = binned.join(small(table), ["subtype", "bin"]).groupBy("u", "v", "cls").agg((F.sum(F.log("likelihood")) * damp).alias("l"))
+    scored = logs.join(small(priors), "cls").withColumn("l", F.col("l") + F.log("prior"))
     pair = Window.partitionBy("u", "v")
     # differences of logarithms: many small factors never underflow
     shifted = scored.withColumn("e", F.exp(F.col("l") - F.max("l").over(pair)))
@@ -145,7 +143,7 @@ def class_priors(labels: DataFrame) -> DataFrame:
 def likelihood_ratio(binned: DataFrame, table: DataFrame) -> DataFrame:
     """u, v, w: product over subtypes of the likelihood of class 1 over that of class 0."""
     sign = F.when(F.col("cls") == 1, 1).otherwise(-1)
-    return binned.join(F.broadcast(table.where("cls in (0, 1)")), ["subtype", "bin"]).groupBy("u", "v").agg(F.exp(F.sum(sign * F.log("likelihood"))).alias("w"))
+    return binned.join(small(table.where("cls in (0, 1)")), ["subtype", "bin"]).groupBy("u", "v").agg(F.exp(F.sum(sign * F.log("likelihood"))).alias("w"))
 
 
 def posterior_ratio(binned: DataFrame, table: DataFrame, priors: DataFrame, damp: float = 1.0) -> DataFrame:
@@ -214,8 +212,8 @@ def training_labels(pairs: DataFrame, refs_x: DataFrame, xval: DataFrame) -> Dat
     turns = xval.select("iteration").distinct()
     a, b = refs_x.select(F.col("node").alias("u"), "cid"), refs_x.select(F.col("node").alias("v"), "cid")
     together = pairs.select("u", "v").join(a, "u").join(b, ["v", "cid"])
-    train = together.crossJoin(F.broadcast(turns)).join(xval, ["iteration", "cid"], "left_anti").select("iteration", "u", "v").distinct()
-    every = pairs.select("u", "v").crossJoin(F.broadcast(turns))
+    train = together.crossJoin(small(turns)).join(xval, ["iteration", "cid"], "left_anti").select("iteration", "u", "v").distinct()
+    every = pairs.select("u", "v").crossJoin(small(turns))
     return every.join(train.withColumn("cls", F.lit(1)), ["iteration", "u", "v"], "left").na.fill(0, ["cls"])
 
 

@@ -212,14 +212,30 @@ def diameter(edges: DataFrame) -> int:
         seen = cut(seen.unionByName(frontier))
 
 
+def common_neighbours(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """u, v, x, wu, wv: what both ends of each pair (u, v) have an edge to, with the weights of these. Each pair is looked up from its end
+    of lower degree, so a hub's neighbours are listed only for pairs of hubs."""
+    adj = cut(adjacency(edges))
+    deg = cut(adj.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
+    du, dv = (deg.select(F.col("src").alias(c), F.col("degree").alias(f"d{c}")) for c in "uv")
+    # an end without any edge has no common neighbour
+    both = pairs.select("u", "v").join(du, "u").join(dv, "v")
+    low = F.when(F.col("du") <= F.col("dv"), F.col("u")).otherwise(F.col("v"))
+    high = F.when(F.col("du") <= F.col("dv"), F.col("v")).otherwise(F.col("u"))
+    placed = both.select("u", "v", low.alias("low"), high.alias("high"))
+    near = adj.select(F.col("src").alias("low"), F.col("dst").alias("x"), F.col("w").alias("wl"))
+    far = adj.select(F.col("src").alias("high"), F.col("dst").alias("x"), F.col("w").alias("wh"))
+    met = placed.join(near, "low").join(far, ["high", "x"])
+    from_u = F.col("low") == F.col("u")
+    return met.select("u", "v", "x", F.when(from_u, F.col("wl")).otherwise(F.col("wh")).alias("wu"), F.when(from_u, F.col("wh")).otherwise(F.col("wl")).alias("wv"))
+
+
 def complete_triangles(edges: DataFrame, scored: DataFrame) -> DataFrame:
     """2-paths a - m - b of `edges` whose missing edge a - b is in scored(u, v, w): a, b, m, w, mean score of the three."""
-    adj = adjacency(edges)
-    p = adj.select(F.col("src").alias("m"), F.col("dst").alias("a"), F.col("w").alias("wa"))
-    q = adj.select(F.col("src").alias("m"), F.col("dst").alias("b"), F.col("w").alias("wb"))
-    paths = p.join(q, "m").where("a < b").join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
-    closing = scored.select(F.col("u").alias("a"), F.col("v").alias("b"), "w")
-    return paths.join(closing, ["a", "b"]).withColumn("score", (F.col("wa") + F.col("wb") + F.col("w")) / 3)
+    closing = cut(scored.select("u", "v", "w").join(edges.select("u", "v"), ["u", "v"], "left_anti"))
+    met = common_neighbours(closing, edges).join(closing, ["u", "v"])
+    score = (F.col("wu") + F.col("wv") + F.col("w")) / 3
+    return met.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("x").alias("m"), "w", score.alias("score"))
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:

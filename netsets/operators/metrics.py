@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netsets.functions.sets import bader, f2_score, f_score, jaccard, size_aware_match
 from netsets.operators.clusters import overlaps, sizes
 from netsets.operators.running import running
-from netsets.plans.lineage import cut
+from netsets.plans.lineage import cut, small
 
 
 def _score(f):
@@ -58,8 +58,7 @@ def _points(steps: DataFrame, n_refs: DataFrame, by: list[str]) -> DataFrame:
     """steps (score, new_preds, new_refs, new_correct), a row per distinct score -> the recorded points of the curve."""
     whole = cut(steps.groupBy(*by).agg(F.sum("new_preds").alias("all_preds")))
     run = running(steps, by, "score", STEPS).join(F.broadcast(n_refs))
-    # a row per group
-    run = run.join(F.broadcast(whole), by) if by else run.join(F.broadcast(whole))
+    run = run.join(small(whole), by) if by else run.join(F.broadcast(whole))
     edges = F.array(*[F.lit(x) for x in _accumulated()])
     bucket = lambda refs: F.size(F.filter(edges, lambda e: e <= refs / F.col("n_refs")))
     # recall never falls, so the highest step before is that of the point before
@@ -120,15 +119,14 @@ def cross_validated(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xv
     those that match training references only are left out of it. scored may have a column `iteration`; else all meet every one."""
     steps = _xval_steps(scored, preds_x, refs_x, xval, threshold)
     n_refs = xval.groupBy("iteration").agg(F.count(F.lit(1)).alias("n_refs"))
-    # a row per iteration
-    return _curve(running(steps, ["iteration"], "score", STEPS).join(F.broadcast(n_refs), "iteration"), ["iteration"])
+    return _curve(running(steps, ["iteration"], "score", STEPS).join(small(n_refs), "iteration"), ["iteration"])
 
 
 def _xval_steps(scored: DataFrame, preds_x: DataFrame, refs_x: DataFrame, xval: DataFrame, threshold: float) -> DataFrame:
     """iteration, score, new_preds, new_correct, new_refs: a row per distinct score."""
     pairs = overlaps(preds_x, refs_x).where(_score(size_aware_match) >= threshold).select(F.col("a").alias("cid"), F.col("b").alias("ref"))
     turns = xval.select("iteration").distinct()
-    base = scored if "iteration" in scored.columns else scored.crossJoin(F.broadcast(turns))
+    base = scored if "iteration" in scored.columns else scored.crossJoin(small(turns))
     base = base.select("iteration", "cid", "score")
     test = xval.select("iteration", F.col("cid").alias("ref"))
     hits = pairs.join(test, "ref").join(base, ["iteration", "cid"]).select("iteration", "cid", "ref", "score")

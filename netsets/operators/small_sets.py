@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsets.operators.graph import triangles
+from netsets.operators.graph import common_neighbours, triangles
 from netsets.plans.lineage import cut
 
 LEAST = 1e-8
@@ -33,9 +33,7 @@ def pairs_of_two(scored: DataFrame, proven: DataFrame | None = None, large: Data
     outside edges. `large` adds the scores of the large class to the outside. The base network of common neighbours is the proven one."""
     base = cut(_proven(scored, proven))
     # an edge that is not proven itself may still have proven common neighbours
-    adj = base.select(F.col("u").alias("p"), F.col("v").alias("x"), "w").unionByName(base.select(F.col("v").alias("p"), F.col("u").alias("x"), "w"))
-    via = scored.select("u", "v").join(adj.select(F.col("p").alias("u"), "x", F.col("w").alias("wu")), "u").join(adj.select(F.col("p").alias("v"), "x", F.col("w").alias("wv")), ["v", "x"])
-    lost = via.groupBy("u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("lost"))
+    lost = common_neighbours(scored, base).groupBy("u", "v").agg(F.sum(F.col("wu") * F.col("wv")).alias("lost"))
     new = F.greatest(F.lit(0.0), F.col("w") * (1 - F.coalesce("lost", F.lit(0.0))))
     out = scored.join(lost, ["u", "v"], "left").select("u", "v", "w", new.alias("new"))
     if not cohesion:

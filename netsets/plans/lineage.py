@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 
@@ -33,3 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     held = df.checkpoint(eager=True)
     rows = held._jdf.queryExecution().toRdd()
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, held._jdf.schema(), False), spark)
+
+
+#: Rows of a side that is sent to every task after counting them.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, computed once, and sent to every task if it has no more than SMALL_ROWS rows; a larger one is joined as Spark plans it."""
+    held = cut(df)
+    return F.broadcast(held) if held.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else held
