@@ -5,7 +5,7 @@ all but `radius` parts, so classes meet under every choice of BLOCKS - radius pa
 BUCKET classes is compared bit-sliced in one task. A larger one is dealt again: its members also agree on all but `radius`
 of the parts that its free bits are cut into, so finer keys lose no pair; after the last refinement a bucket can't hold more
 than 2**FREE_BITS_LEFT classes. Buckets give a link from each linked class to one root, never their pairs, and the components
-come from contracting these links round by round, each round written to the shared folder.
+come from contracting these links round by round, each round written to the shared folder, until FINISH_LINKS are left for one task.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; documents with
 the same id are one node; a null id takes part as a document of its own (two of them meet only where their fingerprints do), and its
@@ -173,27 +173,59 @@ def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+#: Links that one task may finish (some 40 MB); more are contracted by joins first. The components are the same either way.
+FINISH_LINKS = 200_000
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    """(node, root) from a bounded number of links (a, b), by union-find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = x = up.setdefault(above, above)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], names=["node", "root"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(returning(run), "node long, root long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root) for every node with a link: root is the smallest node of its component.
 
-    Each round hooks every node to its smallest neighbour, shortens the hooks to stars, and keeps the links between stars.
+    Each round hooks every node to its smallest neighbour, shortens the hooks to stars, and keeps the links between stars; once few links
+    are left, one task ends it.
     """
     step = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
-    while not step.isEmpty():
-        both = step.select("a", "b").union(step.select("b", "a"))
-        hooks = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = cut(hooks.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-            hooks = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
+    while count := step.count():
+        if count <= FINISH_LINKS:
+            hooks = cut(_finished(step))
+        else:
+            both = step.select("a", "b").union(step.select("b", "a"))
+            hooks = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+            while True:
+                up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
+                jumped = cut(hooks.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+                hooks = jumped.select("node", "root")
+                if jumped.where("moved").isEmpty():
+                    break
         if roots is None:
             roots = hooks
         else:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
             roots = cut(roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+        if count <= FINISH_LINKS:
+            break
         a, b = (hooks.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         step = step.join(a, "a").join(b, "b").where("ra <> rb")
         step = cut(step.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())

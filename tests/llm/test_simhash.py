@@ -67,9 +67,10 @@ def test_bit_sliced_groups(radius):
         assert [at[x] for x in slow_components([values[i] for i in at], radius)] == [got[i] for i in at]
 
 
-@pytest.mark.parametrize("bucket", [2048, 1])
-def test_links_with_and_without_refinement(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, finish", [(2048, 200_000), (1, 200_000), (2048, 0), (2048, 40)])
+def test_links_with_and_without_refinement(spark, monkeypatch, bucket, finish):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "FINISH_LINKS", finish)
     values = clustered(random.Random(9), 400)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     rows = spark.createDataFrame(list(zip(signed, range(400), strict=True)), "fp long, rep long")
@@ -119,3 +120,12 @@ def test_null_ids_do_not_join_what_they_stand_beside(spark):
         want.append((str(doc_id), f"{fps[i]:016x}", min(ids, default=None)))
     assert sorted(((str(r.doc_id), r.fingerprint, r.component_id) for r in got), key=str) == sorted(want, key=str)
     assert {r.doc_id: r.component_id for r in got if r.doc_id} == {5: 5, 9: 9, 12: 12}
+
+
+@pytest.mark.parametrize("finish", [0, 30, 200_000])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, finish):
+    monkeypatch.setattr(simhash, "FINISH_LINKS", finish)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, 501 + i) for i in range(50)] + [(7, 7)]
+    random.Random(0).shuffle(links)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 551)}}
