@@ -277,10 +277,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumn("digest", F.unhex(F.md5("text")))
     small_batches(docs.sparkSession)
     common, hot = _common(docs, shingle)
-    rows = cut(_rows(docs, common, shingle).withColumn("node", F.monotonically_increasing_id()))
-    repeated = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
-    # of the rows with one set, one stands for all
-    one = F.min(F.struct("digest", F.col("doc_id").alias("own"), "node")).alias("of")
+    rows = cut(_rows(docs, common, shingle).withColumn("row", F.monotonically_increasing_id()))
+    # where every row has an id of its own, that is its number, and the smallest number of a component is the result
+    named_rows = rows.where("doc_id is null").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    repeated = not named_rows and not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("node", F.col("doc_id") if named_rows else F.col("row")).drop("row")
+    # of the rows with one set, the first stands for all
+    one = F.min(F.struct("node", "digest", F.col("doc_id").alias("own"))).alias("of")
     named = cut(rows.groupBy("same").agg(F.min("doc_id").alias("least"), one).select("same", "least", "of.*"))
     of_rows = rows.select("doc_id", F.col("node").alias("row"), "same").join(named.select("same", "node"), "same")
     of_rows = cut(of_rows.select("doc_id", "row", "node"))
@@ -321,6 +324,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bucket = left.join(several, "h", "left_semi").withColumn("shard", F.lit(-1).cast("long"))
         low, high, first = (0, 64, False) if first else (high, high * 64, False)
     named = of_rows.select("doc_id", "node")
+    if named_rows:
+        of_node = roots.select(F.col("node").alias("n"), "root")
+        return named.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
     least = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     by_id = cut(named.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"))
     if not by_id.isEmpty():
