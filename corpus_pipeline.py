@@ -29,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (word shingles of five, Jaccard similarity 0.8 or more) the document with the smallest id stays; of rows that repeat its id, the first text."""
+    """Of each group of near copies the document with the smallest id stays; of rows that repeat its id, the first text. SimHash links, confirmed
+    by the exact similarity (word shingles of five, Jaccard 0.8 or more), and what lies beyond their radius."""
     found = cut(near_copies(docs).where("doc_id is not null"))
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
