@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netsets.plans.lineage import cut, shared_dir
 
-__all__ = ["WORD", "cut", "fresh_path", "give_back", "map_batches", "read", "returning", "shared_dir", "small_batches", "text_of", "word_count"]
+__all__ = ["WORD", "cut", "fresh_path", "give_back", "map_batches", "read", "returning", "shared_dir", "small_batches", "text_of"]
 
 #: A word as the contracts count it: code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,12 +26,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def word_count(text: Column) -> Column:
-    """Number of WORDs, without a string for each of them: white space becomes single spaces, one before every word."""
-    spaced = F.rtrim(F.regexp_replace(F.concat(F.lit(" "), text), r"[\x20\x09-\x0D]+", " "))
-    return (F.length(spaced) - F.length(F.translate(spaced, " ", ""))).cast("long")
-
-
 def give_back() -> None:
     """Memory that the process holds but does not use goes back to the system: idle workers stay beside the executor's next stages."""
     pa.default_memory_pool().release_unused()

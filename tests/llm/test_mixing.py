@@ -106,13 +106,3 @@ def test_a_source_without_ids(spark):
     rows = [(None, f"{i} b c", "s") for i in range(500)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).collect()
     assert sum(r.taken for r in got) == 750 and {r.copies for r in got} == {0, 1}
-
-
-def test_word_count(spark):
-    import re
-
-    from netsets.llm.common import WORD, text_of, word_count
-
-    texts = [None, "", " ", "a", " a", "a ", "a b", "\ta\n\nb\x0b\x0cc\r ", "é x   y", "  two   words  ", "\x1c\x1f \x85", "x " * 50_000]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", word_count(text_of("text")).alias("n")).collect()
-    assert {r.i: r.n for r in rows} == {i: len(re.findall(WORD, t or "")) for i, t in enumerate(texts)}
