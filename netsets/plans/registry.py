@@ -306,7 +306,8 @@ def triangles(spark, sf):
     SELECT node, degree, coalesce(n, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(n, 0) / (degree * (degree - 1))::DOUBLE ELSE 0 END, 6) AS coefficient
     FROM deg_net LEFT JOIN t USING (node)""")
 def clustering_coefficient(spark, sf):
-    return only(G.clustering(V.net(spark, sf)), "node", "degree", "triangles", "coefficient")
+    found = G.clustering(V.net(spark, sf, "bigint")).withColumn("node", F.col("node").cast("string"))
+    return only(found, "node", "degree", "triangles", "coefficient")
 
 
 @query("kept adj:kept deg:kept", f"""{REACH}, {TRI.format('kept')}, t AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1)
