@@ -299,7 +299,8 @@ ORIENTED = """arc AS MATERIALIZED (SELECT CASE WHEN a.degree < b.degree OR (a.de
 @query("net deg:net", f"""--ctes {ORIENTED} SELECT t[1] AS a, t[2] AS b, t[3] AS c, ab.w AS wab, ac.w AS wac, bc.w AS wbc
     FROM cor JOIN net ab ON ab.u = t[1] AND ab.v = t[2] JOIN net ac ON ac.u = t[1] AND ac.v = t[3] JOIN net bc ON bc.u = t[2] AND bc.v = t[3]""")
 def triangles(spark, sf):
-    return G.triangles(V.net(spark, sf))
+    found = G.triangles(V.net(spark, sf, "bigint"))
+    return G.in_order(found.withColumns({c: F.col(c).cast("string") for c in "abc"}))
 
 
 @query("net deg:net", f"""--ctes {TRI.format('net')}, t AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1)

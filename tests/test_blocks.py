@@ -58,3 +58,31 @@ def test_clustering_sends_no_lists_with_edges(spark):
     got = {r.node: (r.degree, r.triangles) for r in G.clustering(edges).collect()}
     assert sent(spark) - before < 1_000_000
     assert got == counted([(r.u, r.v) for r in edges.collect()])
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("colours", [1, 2, 4])
+def test_triangles_with_their_weights(spark, monkeypatch, kind, colours):
+    """Numbers have another order as text, and the weights go with it."""
+    monkeypatch.setattr(B, "colours_for", lambda n: colours)
+    cast = str if kind == "string" else int
+    rows = [(*sorted((cast(u), cast(v))), w) for u, v, w in some_edges(colours, 300)]
+    near, weight = near_of(rows), {(u, v): w for u, v, w in rows}
+    want = sorted((a, b, c, weight[a, b], weight[a, c], weight[b, c]) for a in near for b in near[a] for c in near[a] & near[b] if a < b < c)
+    edges = spark.createDataFrame(rows, f"u {kind}, v {kind}, w double")
+    assert sorted(map(tuple, G.triangles(edges).collect())) == want
+    text = G.in_order(G.triangles(edges).withColumns({c: F.col(c).cast("string") for c in "abc"}))
+    told = {(str(x), str(y)): w for u, v, w in rows for x, y in ((u, v), (v, u))}
+    got = text.collect()
+    assert len(got) == len(want) and all(r.a < r.b < r.c and (r.wab, r.wac, r.wbc) == (told[r.a, r.b], told[r.a, r.c], told[r.b, r.c]) for r in got)
+
+
+def test_triangles_are_not_sent_themselves(spark):
+    """Some ten triangles an edge: their weights come with the edges."""
+    pairs = spark.range(300).selectExpr("id as u", "explode(sequence(id, 299)) as v").where("u < v and pmod(xxhash64(u, v), 3) = 0")
+    edges = pairs.selectExpr("u", "v", "pmod(xxhash64(v, u), 1000) / 7 as w").localCheckpoint()
+    before = sent(spark)
+    got = G.triangles(edges).agg(F.count("*")).first()[0]
+    moved = sent(spark) - before
+    assert moved < 1_000_000, moved
+    assert got == sum(t for _, t in counted([(r.u, r.v) for r in edges.collect()]).values()) // 3
