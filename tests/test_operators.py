@@ -251,6 +251,11 @@ def test_ontology(spark):
     assert {(r.u, r.v): r.p for r in bad.collect()} == {("n1", "n4"): 0.0, ("n1", "n5"): 0.5}
 
 
+def test_diameter_beyond_the_steps_of_the_sql(spark):
+    path = edges_of(spark, [(f"{i:03d}", f"{i + 1:03d}", 1) for i in range(34)]).coalesce(1)
+    assert G.diameter(path) == 34
+
+
 def test_set_pairs_once_for_any_chunks(spark, monkeypatch):
     monkeypatch.setattr(FL, "CHUNK_NODES", 3)
     sets = {"a": [f"n{i}" for i in range(11)], "b": [f"n{i}" for i in range(7, 20)], "c": ["n0", "n10", "n12", "n12"], "one": ["x"]}
