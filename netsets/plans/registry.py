@@ -389,7 +389,9 @@ def triangle_completion(spark, sf):
     SELECT net.u, net.v, round(CASE WHEN su.s + pu.p + sv.s + pv.p > 0 THEN coalesce(t, 0) / (su.s + pu.p + sv.s + pv.p) ELSE 0 END, 6) AS w
     FROM net LEFT JOIN top USING (u, v) JOIN s su ON su.node = net.u JOIN s sv ON sv.node = net.v JOIN pad pu ON pu.node = net.u JOIN pad pv ON pv.node = net.v""")
 def adjust_cd(spark, sf):
-    return rounded(W.adjust_cd(cut(V.net(spark, sf))), "w")
+    found = W.adjust_cd(cut(V.net(spark, sf, "bigint")))
+    u, v = F.col("u").cast("string"), F.col("v").cast("string")
+    return rounded(found.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), "w"), "w")
 
 
 ROUND = """top{k} AS (SELECT c.u, c.v, sum(a.w + b.w) AS t FROM com c JOIN w{j} a ON a.u = least(c.x, c.u) AND a.v = greatest(c.x, c.u) JOIN w{j} b ON b.u = least(c.x, c.v) AND b.v = greatest(c.x, c.v) GROUP BY 1, 2),
